@@ -19,11 +19,23 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op3_simple8b_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keystrand.llm.simple8b import token_files
+
+    return token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keystrand.llm.bpe import bpe_round_trip
+
+    return bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keystrand.llm.fingerprints import fingerprint_edits
 
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op10_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_simple8b_token_files, op7_bpe_round_trip, op10_document_fingerprints)}
 ORACLES: dict[str, str] = {}

@@ -112,3 +112,10 @@ class WordEncoder:
         for a, b in slices(texts):
             out += self._some(texts[a:b])
         return out
+
+    def encode_parts(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words that are encoded each on its own, without a table."""
+        odd = [w for w in words if any(c in w for c in "\x1c\x1d\x1e\x1f ")]
+        found = self._learn([w for w in words if w not in set(odd)] if odd else words)
+        found.update(zip(odd, packed(self.tokenizer, odd), strict=True))
+        return [found[w] for w in words]
