@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keystrand.llm.common import table
 
@@ -31,11 +32,18 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keystrand.llm.simhash_dedup import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keystrand.llm.fingerprints import fingerprint_edits
 
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_simple8b_token_files, op7_bpe_round_trip, op10_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_simple8b_token_files, op7_bpe_round_trip, op9_simhash_near_dedup, op10_document_fingerprints)}
 ORACLES: dict[str, str] = {}
