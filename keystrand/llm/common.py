@@ -74,15 +74,16 @@ def slices(texts: list[str | None], chars: int = 2_000_000) -> Iterator[tuple[in
         yield at, len(texts)
 
 
-def ordered_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, list[int]]:
+def ordered_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, carry: tuple[str, ...] = ()) -> tuple[DataFrame, list[int]]:
     """Deal documents to chunks of ascending id ranges.
 
     Returns rows (chunk int, doc_id long, ztext binary) and the upper bounds of the ranges.  Chunk c
     holds the ids above bound c-1 up to bound c; null ids are in chunk 0.  ``ztext`` is the UTF-8 text
     under zstd, null where the text is null, so that a later shuffle moves compressed rows.  Bounds come from one
-    aggregate pass over ids and text lengths; their number follows the text's size.
+    aggregate pass over ids and text lengths; their number follows the text's size.  Columns named in ``carry`` come
+    along as carry0, carry1, and so on.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"carry{k}") for k, c in enumerate(carry)])
     size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("doc_id").alias("n")).first()
     n = max(1, min(math.ceil((size["b"] or 0) / chunk_bytes), size["n"]))
     bounds: list[int] = []
@@ -96,9 +97,10 @@ def ordered_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             ids = b.column(0)
             chunk = np.searchsorted(edges, ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="left").astype(np.int32)
             texts = b.column(1).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(chunk), ids, as_binary([None if t is None else press.compress(t) for t in texts])], names=["chunk", "doc_id", "ztext"])
+            yield pa.RecordBatch.from_arrays([pa.array(chunk), ids, as_binary([None if t is None else press.compress(t) for t in texts]), *b.columns[2:]], names=["chunk", "doc_id", "ztext", *b.schema.names[2:]])
 
-    return docs.mapInArrow(deal, "chunk int, doc_id long, ztext binary"), bounds
+    extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[2:])
+    return docs.mapInArrow(deal, "chunk int, doc_id long, ztext binary" + extra), bounds
 
 
 def chunk_of(bounds: list[int], doc_id: int | None) -> int:

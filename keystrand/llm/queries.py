@@ -20,6 +20,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keystrand.llm.substring_dedup import dedup_substrings
+
+    found = dedup_substrings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_simple8b_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keystrand.llm.simple8b import token_files
 
@@ -45,5 +52,5 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_simple8b_token_files, op7_bpe_round_trip, op9_simhash_near_dedup, op10_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_simple8b_token_files, op7_bpe_round_trip, op9_simhash_near_dedup, op10_document_fingerprints)}
 ORACLES: dict[str, str] = {}
