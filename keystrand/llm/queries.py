@@ -33,6 +33,15 @@ def op3_simple8b_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keystrand.llm import language_id
+
+    docs, fold = table(spark, sf_dir, "documents"), language_id.fold_of()
+    model = language_id.fit(docs, fold != 1)
+    found = language_id.predict(docs, model, ("doc_id",))
+    return found.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keystrand.llm.bpe import bpe_round_trip
 
@@ -52,5 +61,5 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_simple8b_token_files, op7_bpe_round_trip, op9_simhash_near_dedup, op10_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_simple8b_token_files, op6_language_id, op7_bpe_round_trip, op9_simhash_near_dedup, op10_document_fingerprints)}
 ORACLES: dict[str, str] = {}
