@@ -48,6 +48,12 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keystrand.llm.html_extract import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keystrand.llm.simhash_dedup import near_duplicates
 
@@ -61,5 +67,5 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_simple8b_token_files, op6_language_id, op7_bpe_round_trip, op9_simhash_near_dedup, op10_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_simple8b_token_files, op6_language_id, op7_bpe_round_trip, op8_html_extraction, op9_simhash_near_dedup, op10_document_fingerprints)}
 ORACLES: dict[str, str] = {}
