@@ -39,6 +39,13 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keystrand.llm.line_dedup import dedup_lines
+
+    found = dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keystrand.llm import language_id
 
@@ -73,12 +80,12 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_simple8b_token_files, op4_exact_top_k, op6_language_id, op7_bpe_round_trip, op8_html_extraction, op9_simhash_near_dedup, op10_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_simple8b_token_files, op4_exact_top_k, op5_line_dedup, op6_language_id, op7_bpe_round_trip, op8_html_extraction, op9_simhash_near_dedup, op10_document_fingerprints)}
 ORACLES: dict[str, str] = {
     "op4_exact_top_k": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS e FROM embeddings
-            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         p AS (
             SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
             FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
