@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystrand.llm.common import as_binary, slices, written
-from keystrand.llm.words import WordEncoder, load
+from keystrand.llm.words import WordEncoder, load, lowered
 
 #: A chunk ends when it has as many distinct words or code points.
-CHUNK_WORDS = 250_000
-CHUNK_CHARS = 16_000_000
+CHUNK_WORDS = 500_000
+CHUNK_CHARS = 32_000_000
 #: Text bytes for each bucket of words.
 BUCKET_BYTES = 64_000_000
 ODD = "\x1c\x1d\x1e\x1f"
@@ -46,13 +46,14 @@ class Index(dict):
 
 
 def split_words(text: str) -> list[str]:
-    return [text] if any(c in text for c in ODD) else text.split()
+    return [text] if any(c in text for c in ODD) else lowered(text).split()
 
 
 def gather_chunks(docs: DataFrame, n_buckets: int, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """Rows (chunk, bucket, body): of bucket -1 the documents of a chunk, of the others its distinct words there.
 
-    Positions count through the words of bucket 0, then 1, and so on.
+    Positions number the words from the most frequent one down, so that they compress; the documents' row has each
+    word's bucket, and the words of a bucket keep that order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,19 +65,20 @@ def gather_chunks(docs: DataFrame, n_buckets: int, chunk_words: int = CHUNK_WORD
         def finish() -> pa.RecordBatch:
             words = list(index)
             of = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % n_buckets for w in words], dtype=np.int64)
-            order = np.argsort(of, kind="stable")
+            place = np.concatenate(places) if places else np.zeros(0, dtype=np.int64)
+            order = np.argsort(-np.bincount(place, minlength=len(words)), kind="stable")
             rank = np.empty(len(words), dtype="<u4")
             rank[order] = np.arange(len(words))
-            place = rank[np.concatenate(places)] if places else rank
-            planes = np.ascontiguousarray(place.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+            of, place = of[order], rank[place]
             known = np.array([i is not None for i in ids], dtype=np.uint8).tobytes()
-            head = np.array([len(ids), len(place)], dtype="<i8").tobytes()
-            rows = [(chunk, -1, press(head + known + np.array([i or 0 for i in ids], dtype="<i8").tobytes() + np.array(sizes, dtype="<i8").tobytes() + planes))]
-            cuts = np.searchsorted(of[order], np.arange(n_buckets + 1))
+            head = np.array([len(ids), len(words), len(place)], dtype="<i8").tobytes()
+            rows = [(chunk, -1, press(head + known + np.array([i or 0 for i in ids], dtype="<i8").tobytes() + np.array(sizes, dtype="<i8").tobytes() + planes(of) + planes(place)))]
+            dealt = np.argsort(of, kind="stable")
+            cuts = np.searchsorted(of[dealt], np.arange(n_buckets + 1))
             for k in range(n_buckets):
                 if cuts[k] < cuts[k + 1]:
-                    own = [words[j].encode("utf-8", "surrogatepass") for j in order[cuts[k] : cuts[k + 1]]]
-                    rows.append((chunk, k, press(np.array([len(own), *map(len, own)], dtype="<u4").tobytes() + b"".join(own))))
+                    own = [words[j].encode("utf-8", "surrogatepass") for j in order[dealt[cuts[k] : cuts[k + 1]]].tolist()]
+                    rows.append((chunk, k, press(len(own).to_bytes(4, "little") + planes(np.fromiter(map(len, own), dtype=np.int64)) + b"".join(own))))
             a, b, c = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), as_binary(list(c))], names=["chunk", "bucket", "body"])
 
@@ -110,35 +112,46 @@ def encode_words(requests: DataFrame, tokenizer: str, n_buckets: int) -> DataFra
                     bucket, table = k, {}
                 raw = unpress(body)
                 n = int.from_bytes(raw[:4], "little")
-                ends = np.cumsum(np.frombuffer(raw, dtype="<u4", count=n, offset=4), dtype=np.int64) + 4 * (n + 1)
+                ends = np.cumsum(from_planes(raw, n, 4), dtype=np.int64) + 4 * (n + 1)
                 words = [raw[i:j] for i, j in zip([4 * (n + 1), *ends[:-1].tolist()], ends.tolist(), strict=True)]
                 if new := [w for w in words if w not in table]:
                     table.update(zip(new, encoder.encode_parts([w.decode("utf-8", "surrogatepass") for w in new]), strict=True))
                 found = [table[w] for w in words]
-                out.append(press(np.array([n, *(len(x) // 4 for x in found)], dtype="<u4").tobytes() + b"".join(found)))
+                out.append(press(n.to_bytes(4, "little") + planes(np.fromiter(map(len, found), dtype=np.int64) // 4) + planes(np.frombuffer(b"".join(found), dtype="<u4"))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), as_binary(out)], names=["chunk", "bucket", "body"])
 
     return requests.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, "chunk long, bucket int, body binary")
 
 
+def planes(values: np.ndarray) -> bytes:
+    """32-bit integers as four planes of bytes."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(raw: bytes, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8, count=4 * n, offset=at).reshape(4, n).T).view("<u4").ravel()
+
+
 def _restored(body: bytes, answers: list[bytes], unpress) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc_id, ids) of the documents of a chunk."""
     raw, lengths, flat = unpress(body), [], []
     for a in answers:
         whole = unpress(a)
         n = int.from_bytes(whole[:4], "little")
-        lengths.append(np.frombuffer(whole, dtype="<u4", count=n, offset=4))
-        flat.append(np.frombuffer(whole, dtype="<u4", offset=4 * (n + 1)))
-    n_docs, n_places = np.frombuffer(raw, dtype="<i8", count=2).tolist()
-    at = 16
+        lengths.append(from_planes(whole, n, 4))
+        flat.append(from_planes(whole, len(whole) // 4 - n - 1, 4 * (n + 1)))
+    n_docs, n_words, n_places = np.frombuffer(raw, dtype="<i8", count=3).tolist()
+    at = 24
     known = np.frombuffer(raw, dtype=np.uint8, count=n_docs, offset=at).tolist()
     ids = np.frombuffer(raw[at + n_docs : at + 9 * n_docs], dtype="<i8").tolist()
     sizes = np.frombuffer(raw[at + 9 * n_docs : at + 17 * n_docs], dtype="<i8")
-    planes = np.frombuffer(raw, dtype=np.uint8, offset=at + 17 * n_docs).reshape(4, n_places)
-    place = np.ascontiguousarray(planes.T).view("<u4").ravel()
-    length = np.concatenate(lengths).astype(np.int64) if lengths else np.zeros(0, dtype=np.int64)
+    of, place = (from_planes(raw, n, at + 17 * n_docs + skip) for n, skip in ((n_words, 0), (n_places, 4 * n_words)))
+    dealt = np.argsort(of, kind="stable")  # the words in the order of the answers
     words = np.concatenate(flat) if flat else np.zeros(0, dtype="<u4")
-    first = np.cumsum(length) - length
+    length, first = np.zeros(n_words, dtype=np.int64), np.zeros(n_words, dtype=np.int64)
+    if n_words:
+        answered = np.concatenate(lengths).astype(np.int64)
+        length[dealt], first[dealt] = answered, np.cumsum(answered) - answered
     end = 0
     for k, i, size in zip(known, ids, sizes.tolist(), strict=True):
         own = place[end : end + size]
