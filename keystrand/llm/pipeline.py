@@ -1,5 +1,86 @@
-STAGES = []
+"""Stages of the corpus pipeline: each takes documents and returns documents, the last one packed pieces.
 
+A stage works on all its predecessor kept, and returns the columns it was given (``text`` and, where there is one, ``n_chars``
+follow its decisions).  Columns are carried through by place, so no name can clash with an operator's own.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keystrand.llm import language_id as li
+from keystrand.llm.common import table, written
+from keystrand.llm.line_dedup import dedup_lines
+from keystrand.llm.packing import pack_documents
+from keystrand.llm.queries import vocabulary
+from keystrand.llm.simhash_dedup import near_duplicates
+from keystrand.llm.substring_dedup import dedup_substrings
+
+#: Code length, in bits a byte, above which no learned language explains a text better than random bytes would be.
+MOST_BITS = 8.0
+
+
+def _others(docs: DataFrame) -> tuple[str, ...]:
+    return tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+
+
+def _like(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, n_chars counted again."""
+    own = {"n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")} if "n_chars" in docs.columns else {}
+    return found.select(*[own.get(c, F.col(f"`{c}`")) for c in docs.columns])
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what is no text of a learned language: null, without a letter, or costlier than random bytes; a missing label is filled in."""
+    model = li.fit(docs, li.fold_of() != 1)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    held = docs.toDF(*names).select("*", F.col(names[docs.columns.index("text")]).alias("text"))
+    found = li.predict(held, model, tuple(names))
+    keep = found.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= MOST_BITS))
+    label = F.coalesce(F.col(names[docs.columns.index("lang")]), F.col("lang_pred"))
+    return keep.select(*[(label if c == "lang" else F.col(n)).alias(c) for c, n in zip(docs.columns, names, strict=True)])
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove lines that resemble an earlier one; a document stays, be it without lines."""
+    others = _others(docs)
+    names = tuple(f"held{k}" for k in range(len(others)))
+    found = dedup_lines(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in zip(others, names, strict=True)]), names)
+    return _like(found.select("doc_id", "text", *[F.col(n).alias(c) for c, n in zip(others, names, strict=True)]), docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of the smallest id of each group of near copies, once; documents without an id aren't judged."""
+    found = near_duplicates(docs)
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
+    named = docs.join(first, F.col("doc_id") == F.col("__first"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove passages of 20 words or more that occurred before; what stays keeps its white space."""
+    others = _others(docs)
+    names = tuple(f"held{k}" for k in range(len(others)))
+    found = dedup_substrings(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in zip(others, names, strict=True)]), keep_space=True, carry=names)
+    return _like(found.select("doc_id", F.col("kept").alias("text"), *[F.col(n).alias(c) for c, n in zip(others, names, strict=True)]), docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_repeated_lines),
+    ("simhash_near_dedup", drop_near_copies),
+    ("substring_dedup", cut_repeated_passages),
+    ("best_fit_packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
