@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystrand.llm.common import written
-from keystrand.llm.words import WordEncoder
+from keystrand.llm.words import worker_encoder
 
 CAPACITY = 2048
 #: Bins a packing task holds open.
@@ -73,7 +73,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: in
     """Rows (doc_id, piece, start, length, ids_crc32), cut so that only the first piece may be shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(tokenizer, drops_space=False), end_id.to_bytes(4, "little")
+        encoder, end = worker_encoder(tokenizer, drops_space=False), end_id.to_bytes(4, "little")
         for b in batches:
             ids, rows = b.column(0).to_pylist(), ([], [], [], [], [])
             for doc_id, raw in zip(ids, encoder.encode(b.column(1).to_pylist()), strict=True):
