@@ -2,5 +2,347 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keystrand.config import Settings
+from keystrand.functions import keys
+from keystrand.functions.hashing import hamming, hex64, pack64, unpack64, word64
+from keystrand.operators import bloom, cms, compaction, hll, log, merkle, read, simhash, token_bucket
+from keystrand.plans.storage import fresh_path
+from keystrand.streaming import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as mutations: a user's row is the key's new value, an error its deletion."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return log.as_log(e, F.col("user_id"), F.col("event_type"), F.col("ts"), F.col("event_id"), F.col("event_type") == "error")
+
+
+def table_log(spark: SparkSession, sf_dir: str, name: str, key: str, value: str, seq: str) -> DataFrame:
+    t = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return log.as_log(t, F.col(key), F.col(value), F.timestamp_seconds(F.lit(0)), F.col(seq), F.lit(False))
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    return rows.select("key", F.col("value").cast("string").alias("value"), "ts", "seq")
+
+
+NEWEST = """newest AS (SELECT * FROM (SELECT user_id::VARCHAR AS key, event_type AS value, ts, event_id AS seq, event_type = 'error' AS tombstone,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1),
+    live AS (SELECT key, value, ts, seq FROM newest WHERE NOT tombstone)"""
+
+
+@query(f"WITH {NEWEST} SELECT key, value, ts, seq, tombstone FROM newest")
+def latest_per_key(spark, sf_dir):
+    return log.latest(events_log(spark, sf_dir)).select("key", F.col("value").cast("string").alias("value"), "ts", "seq", "tombstone")
+
+
+@query(f"WITH {NEWEST} SELECT * FROM live")
+def live_snapshot(spark, sf_dir):
+    return shown(log.live(events_log(spark, sf_dir)))
+
+
+@query(f"WITH {NEWEST} SELECT DISTINCT user_id::VARCHAR AS key FROM events WHERE user_id::VARCHAR NOT IN (SELECT key FROM live)")
+def delete_hides_key(spark, sf_dir):
+    rows = events_log(spark, sf_dir)
+    return rows.select("key").distinct().join(log.live(rows), "key", "left_anti")
+
+
+@query(f"WITH {NEWEST} SELECT * FROM live WHERE key = '42'")
+def get_point(spark, sf_dir):
+    return shown(read.get(events_log(spark, sf_dir), "42"))
+
+
+@query(f"WITH {NEWEST} SELECT DISTINCT c_custkey::VARCHAR AS key, value, ts, seq FROM customer LEFT JOIN live ON c_custkey::VARCHAR = key")
+def multi_get(spark, sf_dir):
+    asked = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("key"))
+    return shown(read.multi_get(events_log(spark, sf_dir), asked))
+
+
+@query("SELECT c_name AS key, c_mktsegment AS value FROM customer WHERE lower(c_name) LIKE 'customer#0000001%' ORDER BY c_name LIMIT 10 OFFSET 20")
+def prefix_scan_page(spark, sf_dir):
+    rows = read.prefix_scan(table_log(spark, sf_dir, "customer", "c_name", "c_mktsegment", "c_custkey"), "Customer#0000001")
+    return read.page(rows, 3, 10).select("key", F.col("value").cast("string").alias("value"))
+
+
+@query(f"WITH {NEWEST} SELECT key, value, seq FROM live WHERE key BETWEEN '1' AND '4' ORDER BY key LIMIT 10")
+def range_scan_page(spark, sf_dir):
+    return read.page(read.range_scan(events_log(spark, sf_dir), "1", "4"), 1, 10).select("key", F.col("value").cast("string").alias("value"), "seq")
+
+
+@query("SELECT c_name AS key FROM customer WHERE lower(c_name) BETWEEN 'customer#000000010' AND 'customer#000000099' ORDER BY c_name LIMIT 7 OFFSET 7")
+def range_scan_folded_page(spark, sf_dir):
+    rows = read.range_scan(table_log(spark, sf_dir, "customer", "c_name", "c_mktsegment", "c_custkey"), "CUSTOMER#000000010", "customer#000000099")
+    return read.page(rows, 2, 7).select("key")
+
+
+@query("""SELECT key, (row_number() OVER (ORDER BY key))::BIGINT AS step FROM
+    (SELECT DISTINCT p_name AS key FROM part WHERE starts_with(lower(p_name), lower((SELECT min(p_name) FROM part)[1:4])))""")
+def prefix_iterator(spark, sf_dir):
+    """The steps that an iterator over a prefix takes, as rows."""
+    from pyspark.sql import Window
+
+    rows = table_log(spark, sf_dir, "part", "p_name", "p_brand", "p_partkey")
+    prefix = rows.agg(F.min("key")).first()[0][:4]
+    found = read.prefix_scan(rows, prefix)
+    return found.select("key", F.row_number().over(Window.orderBy("key")).cast("long").alias("step"))
+
+
+RESERVED_KEYS = """SELECT (CASE p_partkey % 7 WHEN 0 THEN 'bf_' WHEN 1 THEN 'cms_' WHEN 2 THEN 'hll_' WHEN 3 THEN 'sh_' WHEN 4 THEN 'tb_' WHEN 5 THEN 'shx' ELSE '' END) || p_name AS key FROM part"""
+
+
+def reserved_keys(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    heads = F.element_at(F.array(*map(F.lit, ["bf_", "cms_", "hll_", "sh_", "tb_", "shx", ""])), (F.col("p_partkey") % 7 + 1).cast("int"))
+    return p.select(F.concat(heads, "p_name").alias("key"))
+
+
+@query(f"SELECT key FROM ({RESERVED_KEYS}) WHERE NOT regexp_matches(key, '^(bf|cms|hll|sh|tb)_')")
+def reserved_key_filter(spark, sf_dir):
+    return reserved_keys(spark, sf_dir).where(~keys.is_reserved())
+
+
+@query(f"""SELECT CASE regexp_extract(key, '^(bf|cms|hll|sh|tb)_', 1) WHEN 'bf' THEN 'bloom' WHEN 'cms' THEN 'cms' WHEN 'hll' THEN 'hll' WHEN 'sh' THEN 'simhash'
+    WHEN 'tb' THEN 'token_bucket' ELSE 'user' END AS kind, count(*) AS n FROM ({RESERVED_KEYS}) GROUP BY 1""")
+def key_kinds(spark, sf_dir):
+    return reserved_keys(spark, sf_dir).groupBy(keys.kind().alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT DISTINCT lower(p_name[1:5]) AS head FROM part")
+def key_heads(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(keys.key_head("p_name", 5).alias("head")).distinct()
+
+
+@query(f"WITH {NEWEST} SELECT * FROM live")
+def compaction_merge(spark, sf_dir):
+    """Three runs of the log, merged; their order and number change nothing."""
+    rows = events_log(spark, sf_dir)
+    runs = [rows.where(F.col("seq") % 3 == k) for k in range(3)]
+    return shown(compaction.merged(runs[0].unionByName(runs[1]).unionByName(runs[2]), drop_tombstones=True))
+
+
+@query("""SELECT level, runs, bytes, level < 5 AND runs >= 2 AND bytes >= 512 * level AS due FROM
+    (SELECT (event_id % 6 + 1)::INT AS level, count(DISTINCT event_id % 60) AS runs, sum(event_id % 97)::BIGINT AS bytes FROM events GROUP BY 1)""")
+def compaction_trigger(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("event_id") % 6 + 1).cast("int").alias("level"), (F.col("event_id") % 60).alias("run"), (F.col("event_id") % 97).alias("bytes"))
+    runs = e.groupBy("level", "run").agg(F.sum("bytes").alias("bytes"))
+    return compaction.due(compaction.level_sizes(runs), Settings())
+
+
+@query("SELECT (row_number() OVER (ORDER BY first) - 1)::BIGINT AS id, key FROM (SELECT event_type AS key, min(event_id) AS first FROM events GROUP BY 1)")
+def key_dictionary(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return log.dictionary(e.select(F.col("event_type").alias("key"), F.col("event_id").alias("seq")))
+
+
+@query("SELECT event_id AS seq, event_type AS key FROM events")
+def dictionary_round_trip(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("key"), F.col("event_id").alias("seq"))
+    ids = log.dictionary_of_json(log.dictionary_json(log.dictionary(e)))
+    return log.decode_keys(log.encode_keys(e, ids), ids).select("seq", "key")
+
+
+def hll_sql(element: str, table: str, p: int, by: str = "") -> str:
+    head = f"{by}, " if by else ""
+    return f"""SELECT {head}(h >> {64 - p})::INT AS bucket, max(CASE WHEN h = 0 THEN 65 ELSE bit_count(((h & ((~h) + 1::UBIGINT)) - 1)::UBIGINT) + 1 END)::INT AS rank
+        FROM (SELECT {head}('0x' || substr(md5({element}), 1, 16))::UBIGINT AS h FROM {table}) GROUP BY ALL"""
+
+
+def estimate_sql(registers: str, p: int, by: str = "") -> str:
+    m, head = 1 << p, f"{by}, " if by else ""
+    return f"""SELECT {head}round(CASE WHEN e <= {2.5 * m} AND empty > 0 THEN {m} * ln({m}::DOUBLE / empty) WHEN e > {2**32 / 30} THEN -{2.0**32} * ln(1 - e / {2.0**32}) ELSE e END, 6) AS estimate
+        FROM (SELECT {head}{m} - count(*) AS empty, {0.7213 / (1 + 1.079 / m) * m * m}::DOUBLE / (sum(pow(2.0, -rank)) + {m} - count(*)) AS e FROM ({registers}) GROUP BY ALL)"""
+
+
+@query(hll_sql("user_id::VARCHAR", "events", 6))
+def hll_registers(spark, sf_dir):
+    return hll.registers(spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("user_id").cast("string"), 6)
+
+
+@query(estimate_sql(hll_sql("user_id::VARCHAR", "events", 10), 10))
+def hll_estimate(spark, sf_dir):
+    sketch = hll.registers(spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("user_id").cast("string"), 10)
+    return hll.estimate(sketch, 10).select(F.round("estimate", 6).alias("estimate"))
+
+
+@query(estimate_sql(hll_sql("l_partkey::VARCHAR", "lineitem", 12, "l_returnflag"), 12, "l_returnflag"))
+def hll_by_group(spark, sf_dir):
+    sketch = hll.registers(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), F.col("l_partkey").cast("string"), 12, ("l_returnflag",))
+    return hll.estimate(sketch, 12, ("l_returnflag",)).select("l_returnflag", F.round("estimate", 6).alias("estimate"))
+
+
+@query(hll_sql("l_partkey::VARCHAR", "lineitem", 10))
+def hll_merge(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.col("l_partkey").cast("string").alias("e"))
+    return hll.merge(*[hll.registers(parts.where(F.col("l_orderkey") % 2 == k), "e", 10) for k in range(2)])
+
+
+def seed_sql(i: int) -> str:
+    return f"unhex('{(1000 + i).to_bytes(4, 'big').hex()}{'00' * 28}')"
+
+
+def place_sql(element: str, m: int, i: int) -> str:
+    return f"(('0x' || substr(md5(encode({element}) || {seed_sql(i)}), 1, 16))::UBIGINT % {m})::INT"
+
+
+CMS_M, CMS_K = cms.checked(0.1, 0.1)
+CMS_CELLS = "SELECT row, col, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT {i} AS row, {place_sql('event_type', CMS_M, i)} AS col FROM events" for i in range(CMS_K)) + ") GROUP BY ALL"
+
+
+@query(CMS_CELLS)
+def cms_cells(spark, sf_dir):
+    return cms.cells(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", 0.1, 0.1)
+
+
+@query(f"""WITH c AS ({CMS_CELLS}), q AS ({" UNION ALL ".join(f"SELECT DISTINCT event_type, {i} AS row, {place_sql('event_type', CMS_M, i)} AS col FROM events" for i in range(CMS_K))})
+    SELECT event_type, min(n) AS least, max(n) AS most FROM q JOIN c USING (row, col) GROUP BY 1""")
+def cms_estimate(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return cms.estimate(cms.cells(e, "event_type", 0.1, 0.1), e, "event_type", 0.1, 0.1)
+
+
+BLOOM_M, BLOOM_K = bloom.sized(10_000, 0.01)
+BLOOM_BITS = "SELECT DISTINCT bit FROM (" + " UNION ALL ".join(f"SELECT {place_sql('o_custkey::VARCHAR', BLOOM_M, i)} AS bit FROM orders" for i in range(BLOOM_K)) + ")"
+
+
+@query(BLOOM_BITS)
+def bloom_bits(spark, sf_dir):
+    return bloom.bits(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").cast("string").alias("e")), "e", BLOOM_M, BLOOM_K)
+
+
+@query(f"""WITH b AS ({BLOOM_BITS}), q AS ({" UNION ".join(f"SELECT c_custkey::VARCHAR AS key, {place_sql('c_custkey::VARCHAR', BLOOM_M, i)} AS bit FROM customer" for i in range(BLOOM_K))})
+    SELECT key, bool_and(b.bit IS NOT NULL) AS maybe FROM q LEFT JOIN b USING (bit) GROUP BY 1""")
+def bloom_membership(spark, sf_dir):
+    added = bloom_bits(spark, sf_dir)
+    asked = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("key"))
+    return bloom.membership(added, asked, "key", BLOOM_M, BLOOM_K)
+
+
+STOP_SQL = ", ".join(f"'{w}'" for w in simhash.STOP_WORDS)
+SIMHASH_WORDS = f"""SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(translate(text, '{simhash.PUNCTUATION}', '')), '\\s+')) AS word FROM documents)
+    WHERE word <> '' AND word NOT IN ({STOP_SQL}) GROUP BY ALL"""
+SIMHASH_PRINTS = f"""w AS ({SIMHASH_WORDS}), h AS (SELECT doc_id, n, ('0x' || substr(md5(word), 1, 16))::UBIGINT AS h FROM w),
+    v AS (SELECT doc_id, i, sum(n * (2 * ((h >> (63 - i)) & 1)::BIGINT - 1)) AS v FROM h, range(64) t(i) GROUP BY ALL),
+    p AS (SELECT doc_id, bit_or(CASE WHEN v > 0 THEN 1::UBIGINT << (63 - i) ELSE 0::UBIGINT END) AS fp FROM v GROUP BY 1),
+    prints AS (SELECT d.doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM documents d LEFT JOIN p USING (doc_id))"""
+
+
+@query(SIMHASH_WORDS)
+def simhash_words(spark, sf_dir):
+    return simhash.word_weights(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@query(f"WITH {SIMHASH_PRINTS} SELECT doc_id, format('{{:016x}}', fp) AS fingerprint FROM prints")
+def simhash_fingerprint(spark, sf_dir):
+    """Through the stored eight bytes and back."""
+    prints = simhash.fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return prints.select("doc_id", hex64(unpack64(pack64("fp"))).alias("fingerprint"))
+
+
+@query("""SELECT a.n_nationkey AS a, b.n_nationkey AS b, bit_count(xor(('0x' || substr(md5(a.n_name), 1, 16))::UBIGINT, ('0x' || substr(md5(b.n_name), 1, 16))::UBIGINT))::INT AS distance
+    FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey""")
+def hamming_pairs(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey", word64("n_name").alias("fp"))
+    a, b = n.alias("a"), n.alias("b")
+    met = a.join(b, (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") < F.col("b.n_nationkey")))
+    return met.select(F.col("a.n_nationkey").alias("a"), F.col("b.n_nationkey").alias("b"), hamming("a.fp", "b.fp").alias("distance"))
+
+
+@query(f"""WITH {SIMHASH_PRINTS}, r AS (SELECT min(doc_id) AS id, fp FROM prints GROUP BY fp)
+    SELECT a.id AS a, b.id AS b, bit_count(xor(a.fp, b.fp))::INT AS distance FROM r a JOIN r b ON a.id < b.id AND bit_count(xor(a.fp, b.fp)) <= 3""")
+def near_duplicates(spark, sf_dir):
+    return simhash.near_duplicates(simhash.fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+@query(f"WITH {SIMHASH_PRINTS} SELECT doc_id, min(doc_id) OVER (PARTITION BY fp) AS representative FROM prints")
+def near_duplicate_classes(spark, sf_dir):
+    return simhash.classes(simhash.fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def tree_sql(leaf: str, name: str = "l", levels: int = 6) -> str:
+    """Common table expressions {name}0 .. of a tree's levels; levels above the root are empty."""
+    out = [f"{name}0 AS ({leaf})"]
+    for k in range(levels):
+        out.append(f"""{name}{k + 1} AS (SELECT a.idx // 2 AS idx, sha1(unhex(a.digest || coalesce(b.digest, a.digest))) AS digest
+            FROM {name}{k} a LEFT JOIN {name}{k} b ON b.idx = a.idx + 1 WHERE a.idx % 2 = 0 AND (SELECT count(*) FROM {name}{k}) > 1)""")
+    return ", ".join(out)
+
+
+def levels_sql(name: str, levels: int = 6) -> str:
+    return " UNION ALL ".join(f"SELECT {k} AS level, idx, digest FROM {name}{k}" for k in range(levels + 1))
+
+
+NATION_LEAVES = "SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::BIGINT AS idx, sha1(n_name) AS digest FROM nation"
+CHANGED_LEAVES = "SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::BIGINT AS idx, sha1(CASE WHEN n_nationkey = 7 THEN 'changed' ELSE n_name END) AS digest FROM nation"
+
+
+@query(f"WITH {tree_sql(NATION_LEAVES)} SELECT digest AS root, (level + 1)::INT AS levels FROM ({levels_sql('l')}) ORDER BY level DESC LIMIT 1")
+def merkle_root(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return merkle.roots(merkle.tree(merkle.leaves(n, F.sha1("n_name"), ["n_nationkey"]))).select("root", "levels")
+
+
+@query(f"""WITH {tree_sql(NATION_LEAVES)}, {tree_sql(CHANGED_LEAVES, 'c')}
+    SELECT level, idx, a.digest AS left_digest, b.digest AS right_digest FROM ({levels_sql('l')}) a FULL JOIN ({levels_sql('c')}) b USING (level, idx) WHERE a.digest IS DISTINCT FROM b.digest""")
+def merkle_diff(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    changed = n.withColumn("n_name", F.when(F.col("n_nationkey") == 7, F.lit("changed")).otherwise(F.col("n_name")))
+    a, b = (merkle.tree(merkle.leaves(x, F.sha1("n_name"), ["n_nationkey"])) for x in (n, changed))
+    return merkle.diff(a, b).select("level", "idx", "left_digest", "right_digest")
+
+
+@query()
+def crc32_rows(spark, sf_dir):
+    """Checksums of the log's rows, and whether each holds after it was stored."""
+    return log.valid(events_log(spark, sf_dir)).select("seq", "crc")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, event_id AS seq, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    s AS (SELECT key, seq, n, true AS admitted, 2::BIGINT AS tokens, us AS last FROM e WHERE n = 1
+        UNION ALL
+        SELECT key, seq, n, before > 0, CASE WHEN before > 0 THEN before - 1 ELSE 0 END, CASE WHEN more > 0 THEN us ELSE last END FROM
+            (SELECT e.key, e.seq, e.n, e.us, s.last, (e.us - s.last) // 86400000000 AS more, least(3, s.tokens + (e.us - s.last) // 86400000000) AS before FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1))
+    SELECT key, seq, admitted, tokens FROM s""")
+def token_bucket_admission(spark, sf_dir):
+    admitted = token_bucket.admit(events_log(spark, sf_dir), capacity=3, rate=1, unit_seconds=86_400)
+    return admitted.select("key", "seq", "admitted", "tokens")
+
+
+@query(f"WITH {NEWEST} SELECT * FROM live")
+def stream_upsert(spark, sf_dir):
+    stream = ingest.source(spark, f"{sf_dir}/events.parquet")
+    mutations = log.as_log(stream, F.col("user_id"), F.col("event_type"), F.col("ts"), F.col("event_id"), F.col("event_type") == "error")
+    out = fresh_path(spark, "stream-upsert")
+    ingest.upsert(mutations, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return shown(log.visible(ingest.upserted(spark, f"{out}/rows")))
+
+
+@query(hll_sql("user_id::VARCHAR", "events", 8))
+def stream_hll(spark, sf_dir):
+    stream = ingest.source(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("e"))
+    out = fresh_path(spark, "stream-hll")
+    ingest.hll_sketch(stream, "e", 8, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return ingest.hll_registers(spark, f"{out}/rows")
+
+
+@query(CMS_CELLS)
+def stream_cms(spark, sf_dir):
+    out = fresh_path(spark, "stream-cms")
+    ingest.cms_sketch(ingest.source(spark, f"{sf_dir}/events.parquet"), "event_type", 0.1, 0.1, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return ingest.cms_cells(spark, f"{out}/rows")
