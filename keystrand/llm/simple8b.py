@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystrand.llm.common import by_chunk, fresh_path, ordered_chunks, unzipped, written
-from keystrand.llm.words import WordEncoder
+from keystrand.llm.words import worker_encoder
 
 MAGIC = b"KSIDS8B1"
 #: Selector -> (ids in a word, bits of each).  Selector 0 is an escape.
@@ -213,7 +213,7 @@ def write_token_files(docs: DataFrame, directory: str, tokenizer: str, end_id: i
     """Write the files; returns their manifest (chunk, path, n_docs, n_ids, n_bytes, crc32), a written table of a row per file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, current, writer = WordEncoder(tokenizer, drops_space=True), end_id.to_bytes(4, "little"), None, Writer()
+        encoder, end, current, writer = worker_encoder(tokenizer, drops_space=True), end_id.to_bytes(4, "little"), None, Writer()
 
         def finish() -> pa.RecordBatch:
             data = writer.close()
