@@ -82,6 +82,15 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_simple8b_token_files, op4_exact_top_k, op5_line_dedup, op6_language_id, op7_bpe_round_trip, op8_html_extraction, op9_simhash_near_dedup, op10_document_fingerprints)}
 ORACLES: dict[str, str] = {
+    "op2_substring_dedup": """
+        WITH w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        windows AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 19], ' ')) AS h FROM w, unnest(range(1, len(words) - 18)) AS t(i)),
+        again AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1),
+        gone AS (SELECT doc_id, list(DISTINCT p) AS places FROM again, unnest(range(i, i + 20)) AS t(p) GROUP BY doc_id)
+        SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+            sha256(array_to_string(list_filter(words, lambda x, i: places IS NULL OR NOT list_contains(places, i)), ' ')) AS kept_sha256
+        FROM w LEFT JOIN gone USING (doc_id)""",
     "op4_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
