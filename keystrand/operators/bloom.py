@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrand.functions.hashing import unsigned_mod, word64
+from keystrand.functions.hashing import big_endian, seed_bytes, unsigned_mod, word64
 
 SEED = 1000
 
@@ -49,3 +49,10 @@ def membership(set_bits: DataFrame, items: DataFrame, element: str, m: int, k: i
     asked = items.select(element).distinct().select(element, F.explode(F.array_distinct(places(element, m, k, seed))).alias("bit"))
     met = asked.join(set_bits.withColumn("hit", F.lit(True)), "bit", "left")
     return met.groupBy(element).agg(F.every(F.coalesce("hit", F.lit(False))).alias("maybe"))
+
+
+def payload(set_bits: DataFrame, m: int, k: int, seed: int = SEED) -> DataFrame:
+    """The filter as one binary value: m (4 bytes), a byte for each bit, k (4 bytes), the seeds."""
+    cells = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.when(F.array_contains("set", i), F.lit("01")).otherwise(F.lit("00")))
+    tail = b"".join(seed_bytes(seed + i) for i in range(k))
+    return set_bits.agg(F.collect_set("bit").alias("set")).select(F.concat(big_endian(F.lit(m), 4), F.unhex(F.array_join(cells, "")), big_endian(F.lit(k), 4), F.lit(tail)).alias("payload"))

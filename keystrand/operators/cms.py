@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrand.functions.hashing import unsigned_mod, word64
+from keystrand.functions.hashing import big_endian, seed_bytes, unsigned_mod, word64
 
 SEED = 1000
 
@@ -51,3 +51,12 @@ def estimate(sketch: DataFrame, items: DataFrame, element: str, epsilon: float,
     asked = items.select(element).distinct().select(F.col(element), F.explode(places(element, m, k, seed)).alias("c")).select(element, "c.row", "c.col")
     met = asked.join(sketch, ["row", "col"], "left").select(element, F.coalesce("n", F.lit(0)).alias("n"))
     return met.groupBy(element).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+
+
+def payload(sketch: DataFrame, epsilon: float, delta: float, seed: int = SEED) -> DataFrame:
+    """The sketch as one binary value: m and k (4 bytes each), the seeds, then k rows of m counters of 4 bytes."""
+    m, k = checked(epsilon, delta)
+    counts = F.map_from_entries(F.collect_list(F.struct((F.col("row") * m + F.col("col")).alias("at"), "n")))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(m * k - 1)), lambda i: F.lpad(F.hex(F.coalesce(F.element_at(F.col("c"), i), F.lit(0))), 8, "0"))
+    head = b"".join(seed_bytes(seed + i) for i in range(k))
+    return sketch.agg(counts.alias("c")).select(F.concat(big_endian(F.lit(m), 4), big_endian(F.lit(k), 4), F.lit(head), F.unhex(F.array_join(cells, ""))).alias("payload"))

@@ -56,3 +56,15 @@ def serialised(whole: DataFrame) -> DataFrame:
     first = F.pow(F.lit(2.0), "level").cast("long") * F.col("idx")
     listed = F.sort_array(F.collect_list(F.struct(first.alias("first"), (-F.col("level")).alias("up"), "digest")))
     return whole.groupBy("run_id").agg(F.array_join(F.transform(listed, lambda n: n["digest"]), "|").alias("text"))
+
+
+def parsed(text: str, leaf_count: int) -> list[tuple[int, int, str]]:
+    """(level, idx, digest) of a serialised tree, given how many leaves it has."""
+    sizes = [leaf_count]
+    while sizes[-1] > 1:
+        sizes.append((sizes[-1] + 1) // 2)
+    nodes = [(idx << level, -level, level, idx) for level, size in enumerate(sizes) for idx in range(size)]
+    digests = text.split("|") if text else []
+    if len(digests) != len(nodes):
+        raise ValueError("the text does not fit a tree of so many leaves")
+    return sorted((level, idx, d) for (*_, level, idx), d in zip(sorted(nodes), digests, strict=True))

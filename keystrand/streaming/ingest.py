@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from keystrand.operators import cms, hll
 from keystrand.operators.log import latest
+from keystrand.plans.storage import delete, hadoop
 
 
 def source(spark: SparkSession, path: str, files_a_batch: int | None = None) -> DataFrame:
@@ -64,3 +65,12 @@ def cms_sketch(stream: DataFrame, element: str, epsilon: float, delta: float, pa
 
 def cms_cells(spark: SparkSession, path: str) -> DataFrame:
     return cms.merge(_batches(spark, path))
+
+
+def truncate(spark: SparkSession, path: str, below: int) -> int:
+    """Drop the batches numbered below ``below`` from a log, once a run holds them; returns how many went."""
+    store, where = hadoop(spark, path)
+    old = [s.getPath() for s in store.listStatus(where) if s.isDirectory() and s.getPath().getName().startswith("batch=") and int(s.getPath().getName()[6:]) < below]
+    for p in old:
+        delete(spark, p.toString())
+    return len(old)

@@ -38,6 +38,16 @@ def test_merkle_serialised_in_pre_order(spark):
     (a, b, c, d), (ab, cd), (root,) = want
     text = merkle.serialised(merkle.tree(merkle.leaves(df, F.sha1(F.col("k").cast("string")), ["k"]))).first().text
     assert text == "|".join([root, ab, a, b, cd, c, d])
+    assert merkle.parsed(text, 4) == [(0, 0, a), (0, 1, b), (0, 2, c), (0, 3, d), (1, 0, ab), (1, 1, cd), (2, 0, root)]
+    with pytest.raises(ValueError):
+        merkle.parsed(text, 5)
+
+
+@pytest.mark.parametrize("n", [1, 3, 5])
+def test_merkle_parse_is_the_inverse(spark, n):
+    whole = merkle.tree(merkle.leaves(spark.createDataFrame([(i,) for i in range(n)], "k int"), F.sha1(F.col("k").cast("string")), ["k"]))
+    text = merkle.serialised(whole).first().text
+    assert merkle.parsed(text, n) == sorted((r.level, r.idx, r.digest) for r in whole.collect())
 
 
 def rows_of(spark, rows):

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keystrand.operators import compaction, log, read
+from keystrand.sources import generators
 
 BASE = datetime(2024, 1, 1)
 
@@ -18,19 +19,10 @@ def state(df):
     return {r.key: bytes(r.value).decode() for r in df.collect()}
 
 
-def load(spark, n, keys):
-    """The load generator: n puts over so many keys, in an order that a fixed seed shuffles; times tie."""
-    df = spark.range(n).select((F.col("id") % keys + 1).cast("string").alias("key"), F.rand(7).alias("r"))
-    from pyspark.sql import Window
-
-    seq = df.withColumn("seq", F.row_number().over(Window.orderBy("r", "key")).cast("long"))
-    return log.as_log(seq, F.col("key"), F.lit("TEST"), F.timestamp_seconds(F.floor(F.col("seq") / 1000)), F.col("seq"), F.lit(False))
-
-
-@pytest.mark.parametrize(("n", "keys"), [(100_000, 100), (100_000, 5_000), (500, 500)])
-def test_load_generators(spark, n, keys):
-    found = log.live(load(spark, n, keys)).select("key", F.col("value").cast("string").alias("v")).collect()
-    assert len(found) == keys and {r.v for r in found} == {"TEST"} and {int(r.key) for r in found} == set(range(1, keys + 1))
+@pytest.mark.parametrize(("make_load", "keys"), [(generators.load_100, range(1, 101)), (generators.load_5000, range(1, 5001)), (generators.load_500, range(500))])
+def test_load_generators(spark, make_load, keys):
+    found = log.live(make_load(spark)).select("key", F.col("value").cast("string").alias("v")).collect()
+    assert {r.v for r in found} == {"TEST"} and sorted(int(r.key) for r in found) == list(keys)
 
 
 def test_newest_decides(spark):
@@ -101,7 +93,7 @@ def test_dictionary(spark):
 
 
 def test_merging_runs_changes_nothing(spark):
-    rows = load(spark, 3000, 40).withColumn("tombstone", F.col("seq") % 7 == 0)
+    rows = generators.load(spark, 3000, 40).withColumn("tombstone", F.col("seq") % 7 == 0)
     rows = log.as_log(rows, F.col("key"), F.col("value"), F.col("ts"), F.col("seq"), F.col("tombstone"))
     whole = {(r.key, r.seq) for r in log.live(rows).collect()}
     for n in (1, 3):

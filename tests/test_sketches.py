@@ -2,10 +2,12 @@ import hashlib
 import math
 import struct
 from collections import Counter
+from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
-from keystrand.operators import bloom, cms, hll, simhash
+from keystrand.operators import bloom, cms, hll, instances, log, simhash
 from keystrand.sources import legacy
 
 
@@ -125,6 +127,38 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {r.doc_id: r.representative for r in simhash.classes(prints).collect()} == {i: first[v] for i, v in enumerate(values)}
 
 
+def test_payloads(spark):
+    values = [f"v{i % 9}" for i in range(40)]
+    m, k = bloom.sized(9, 0.1)
+    seeds = [(1000 + i).to_bytes(4, "big") + bytes(28) for i in range(k)]
+    data = bytes(bloom.payload(bloom.bits(elements(spark, values), "e", m, k), m, k).first().payload)
+    assert legacy.parse_bloom(data) == (m, sorted({seeded(v, i) % m for v in values for i in range(k)}), seeds)
+    want = Counter((i, seeded(v, i) % 6) for v in values for i in range(2))
+    data = bytes(cms.payload(cms.cells(elements(spark, values), "e", 0.5, 0.9), 0.5, 0.9).first().payload)
+    assert legacy.parse_cms(data) == (6, seeds[:2], [[want[i, c] for c in range(6)] for i in range(2)])
+
+
+def test_instances(spark):
+    at = datetime(2024, 1, 1)
+    rows = log.as_log(spark.createDataFrame([("k", "v", at, 1, False)], "key string, value string, ts timestamp, seq long, dead boolean"), *map(F.col, ("key", "value", "ts", "seq", "dead")))
+    sketch = hll.registers(elements(spark, ["a", "b"]), "e", 4)
+    rows = instances.store(rows, "hll", "x", hll.payload(sketch, 4), at)
+    back = hll.registers_of_payload(instances.fetch(rows, "hll", "x"))
+    assert {tuple(r) for r in back.collect()} == {tuple(r) for r in sketch.collect()}
+    assert log.live(rows).count() == 1
+    rows = instances.drop(rows, "hll", "x", at)
+    assert instances.fetch(rows, "hll", "x").count() == 0
+    with pytest.raises(KeyError):
+        instances.drop(rows, "hll", "x", at)
+    for name, text in (("a", "one two three"), ("b", "one two four")):
+        rows = instances.store_fingerprint(rows, name, text, at)
+    assert instances.fingerprint_distance(rows, "a", "b") == (slow_fingerprint("one two three") ^ slow_fingerprint("one two four")).bit_count()
+    with pytest.raises(KeyError):
+        instances.fingerprint_distance(rows, "a", "zz")
+    with pytest.raises(ValueError):
+        instances.key_of("bloom", "")
+
+
 def test_legacy_sketch_forms():
     seeds = [(1000 + i).to_bytes(4, "big") + bytes(28) for i in range(2)]
     assert legacy.parse_bloom(struct.pack(">I", 3) + b"\x01\x00\x01" + struct.pack(">I", 2) + b"".join(seeds)) == (3, [0, 2], seeds)

@@ -40,6 +40,7 @@ def test_streams_equal_batches(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).count() == 200
     assert as_set(ingest.hll_registers(spark, str(tmp_path / "hll"))) == as_set(hll.registers(rows, "value", 5))
     assert as_set(ingest.cms_cells(spark, str(tmp_path / "cms"))) == as_set(cms.cells(rows, "key", 0.1, 0.1))
+    assert ingest.truncate(spark, str(tmp_path / "log"), 2) == 2 and 0 < spark.read.parquet(str(tmp_path / "log")).count() < 200
     # A restart finds nothing new and changes nothing.
     ingest.upsert(stream, str(tmp_path / "up"), str(tmp_path / "c1")).awaitTermination()
     assert ingest.upserted(spark, str(tmp_path / "up")).count() == 11
