@@ -5,11 +5,12 @@ Columns: key string, value binary, ts timestamp, seq long (unique, rising), tomb
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystrand.functions.hashing import record_crc
 from keystrand.functions.keys import is_reserved
+from keystrand.plans.numbering import numbered
 
 COLUMNS = ("key", "value", "ts", "seq", "tombstone", "crc")
 
@@ -43,7 +44,7 @@ def _append(log: DataFrame, rows: DataFrame, tombstone: bool) -> DataFrame:
     if not bad.isEmpty():
         raise ValueError("a key must not be null, empty or start with tb_")
     last = log.agg(F.max("seq")).first()[0] or 0
-    ordered = rows.withColumn("seq", F.row_number().over(Window.orderBy("ts", "key")) + F.lit(last).cast("long"))
+    ordered = numbered(rows, ["ts", "key"], "seq", last + 1)
     return log.unionByName(as_log(ordered, F.col("key"), F.col("value"), F.col("ts"), F.col("seq"), F.lit(tombstone)))
 
 
@@ -72,9 +73,9 @@ def visible(newest: DataFrame) -> DataFrame:
 
 
 def dictionary(log: DataFrame) -> DataFrame:
-    """Rows (id, key): ids by first appearance.  The distinct keys are counted off in one task, the log is not."""
+    """Rows (id, key): ids by first appearance."""
     first = log.groupBy("key").agg(F.min("seq").alias("first"))
-    return first.select((F.row_number().over(Window.orderBy("first", "key")) - 1).cast("long").alias("id"), "key")
+    return numbered(first, ["first", "key"], "id").select("id", "key")
 
 
 def encode_keys(log: DataFrame, ids: DataFrame) -> DataFrame:

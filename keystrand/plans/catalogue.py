@@ -11,6 +11,7 @@ from keystrand.config import Settings
 from keystrand.functions import keys
 from keystrand.functions.hashing import hamming, hex64, pack64, unpack64, word64
 from keystrand.operators import bloom, cms, compaction, hll, log, merkle, read, simhash, token_bucket
+from keystrand.plans.numbering import numbered
 from keystrand.plans.storage import fresh_path
 from keystrand.streaming import ingest
 
@@ -96,12 +97,10 @@ def range_scan_folded_page(spark, sf_dir):
     (SELECT DISTINCT p_name AS key FROM part WHERE starts_with(lower(p_name), lower((SELECT min(p_name) FROM part)[1:4])))""")
 def prefix_iterator(spark, sf_dir):
     """The steps that an iterator over a prefix takes, as rows."""
-    from pyspark.sql import Window
-
     rows = table_log(spark, sf_dir, "part", "p_name", "p_brand", "p_partkey")
     prefix = rows.agg(F.min("key")).first()[0][:4]
     found = read.prefix_scan(rows, prefix)
-    return found.select("key", F.row_number().over(Window.orderBy("key")).cast("long").alias("step"))
+    return numbered(found.select("key"), ["key"], "step", 1)
 
 
 RESERVED_KEYS = """SELECT (CASE p_partkey % 7 WHEN 0 THEN 'bf_' WHEN 1 THEN 'cms_' WHEN 2 THEN 'hll_' WHEN 3 THEN 'sh_' WHEN 4 THEN 'tb_' WHEN 5 THEN 'shx' ELSE '' END) || p_name AS key FROM part"""

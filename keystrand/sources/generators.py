@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrand.operators.log import as_log
+from keystrand.plans.numbering import numbered
 
 
 def load(spark: SparkSession, rows: int, keys: int, first: int = 1, shuffled: bool = True, seed: int = 7) -> DataFrame:
     """``rows`` puts of "TEST" over the keys first .. first + keys - 1; a thousand share a second, so that times tie."""
     named = spark.range(rows).select((F.col("id") % keys + first).cast("string").alias("key"), (F.rand(seed) if shuffled else F.col("id")).alias("o"))
-    placed = named.withColumn("seq", F.row_number().over(Window.orderBy("o", "key")).cast("long"))
+    placed = numbered(named, ["o", "key"], "seq", 1)
     return as_log(placed, F.col("key"), F.lit("TEST"), F.timestamp_seconds(F.floor(F.col("seq") / 1000)), F.col("seq"), F.lit(False))
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keystrand.operators import compaction, log, read
+from keystrand.plans.numbering import numbered
 from keystrand.sources import generators
 
 BASE = datetime(2024, 1, 1)
@@ -103,3 +104,9 @@ def test_merging_runs_changes_nothing(spark):
             for p in order[1:]:
                 both = both.unionByName(p)
             assert {(r.key, r.seq) for r in compaction.merged(both, drop_tombstones=True).collect()} == whole
+
+
+def test_numbering(spark):
+    rows = spark.createDataFrame([(i * 37 % 101, "x") for i in range(101)], "k int, v string").repartition(7)
+    assert sorted((r.k, r.n) for r in numbered(rows, ["k"], "n", 5).collect()) == [(i, i + 5) for i in range(101)]
+    assert numbered(rows.limit(0), ["k"], "n").count() == 0
