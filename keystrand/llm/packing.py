@@ -2,7 +2,8 @@
 
 Documents are encoded, cut into pieces of at most ``capacity`` tokens, and the pieces are packed by bounded-space
 online best-fit: a task keeps a fixed number of open bins in a bitset keyed by free space, puts each piece into the open
-bin with the least sufficient space, and closes the fullest bin when a new one would exceed the bound.
+bin with the least sufficient space, and closes the fullest bin when a new one would exceed the bound.  Pieces arrive in
+bounded lots, each placed from the longest down.
 
 Null text counts as empty; an empty document is the end id alone; repeated rows are packed each; columns other than
 the id and the text are ignored; an empty table gives no rows.
@@ -21,8 +22,12 @@ from keystrand.llm.common import written
 from keystrand.llm.words import worker_encoder
 
 CAPACITY = 2048
+#: Words that a Python worker keeps, some 250 bytes each.
+KEPT_WORDS = 400_000
 #: Bins a packing task holds open.
 OPEN_BINS = 2048
+#: Pieces that arrive together and are placed from the longest down, so that short ones fill what long ones leave.
+ARRIVALS = 4000
 #: Pieces that a packing task aims at: many, so that the bins it leaves open at its end are few beside those it fills.
 PIECES_A_TASK = 200_000
 
@@ -73,7 +78,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: in
     """Rows (doc_id, piece, start, length, ids_crc32), cut so that only the first piece may be shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = worker_encoder(tokenizer, drops_space=False), end_id.to_bytes(4, "little")
+        encoder, end = worker_encoder(tokenizer, drops_space=False, kept=KEPT_WORDS), end_id.to_bytes(4, "little")
         for b in batches:
             ids, rows = b.column(0).to_pylist(), ([], [], [], [], [])
             for doc_id, raw in zip(ids, encoder.encode(b.column(1).to_pylist()), strict=True):
@@ -118,16 +123,26 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
             rows.clear()
             return batch
 
-        schema, seen = None, 0
-        for b in batches:
-            schema = schema or pa.schema([*b.schema, pa.field("sequence_id", pa.int64()), pa.field("offset", pa.int64())])
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        def place() -> None:
+            nonlocal seen
+            arrived.sort(key=lambda row: -row[at])
+            for row in arrived:
                 kept[seen] = row
                 if members := bins.add(seen, row[at]):
                     close(members)
                 seen += 1
+            arrived.clear()
+
+        schema, seen, arrived = None, 0, []
+        for b in batches:
+            schema = schema or pa.schema([*b.schema, pa.field("sequence_id", pa.int64()), pa.field("offset", pa.int64())])
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                arrived.append(row)
+                if len(arrived) == ARRIVALS:
+                    place()
             if rows:
                 yield out()
+        place()
         for members in bins.rest():
             close(members)
         if rows:
