@@ -12,6 +12,7 @@ from keystrand.functions import keys
 from keystrand.functions.hashing import hamming, hex64, pack64, unpack64, word64
 from keystrand.operators import bloom, cms, compaction, hll, log, merkle, read, simhash, token_bucket
 from keystrand.plans.numbering import numbered
+from keystrand.plans.shipping import ship
 from keystrand.plans.storage import fresh_path
 from keystrand.streaming import ingest
 
@@ -319,6 +320,7 @@ def crc32_rows(spark, sf_dir):
             (SELECT e.key, e.seq, e.n, e.us, s.last, (e.us - s.last) // 86400000000 AS more, least(3, s.tokens + (e.us - s.last) // 86400000000) AS before FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1))
     SELECT key, seq, admitted, tokens FROM s""")
 def token_bucket_admission(spark, sf_dir):
+    ship(spark)
     admitted = token_bucket.admit(events_log(spark, sf_dir), capacity=3, rate=1, unit_seconds=86_400)
     return admitted.select("key", "seq", "admitted", "tokens")
 
