@@ -3,14 +3,16 @@
 A line is the set of its words.  A line is removed if an earlier line (smaller doc_id, or same document and earlier place) has a
 Jaccard similarity of at least ``SIMILARITY`` with it; lines are judged on the input, so a removed line still removes later ones.
 
-1. Rarity: the corpus' words are counted in ``RARITY`` hash counters (a bounded table whatever the corpus), each reduced to one
-   of 94 steps of a logarithmic scale.  A line's words in order of (step, word) come rarest first; the order is total, so
-   prefix filtering is exact whatever two words share a counter.
-2. Equal sets meet by a digest; only the first line of each is compared with others, later ones are removed.
+1. Rarity: the corpus' words are counted in ``RARITY`` hash counters (a bounded table whatever the corpus), each reduced to a
+   step of a logarithmic scale.  A word's rank is its step, then 56 bits of its hash; ranks in ascending order are the line's
+   words from the rarest.  The order is the same in every line, which is all that prefix filtering needs.
+2. Lines of equal ranks are equal sets (but for a 56-bit collision between two words in otherwise equal lines); only the
+   first of each is compared with others, later ones are removed.
 3. Each such line posts its rarest words, n - ceil(s * n) + 1 of n.  Lines that share a posted word are partners if their
-   lengths, the places of the word in both and 64-bit maps of their words allow the similarity.
-4. A line that resembles the first line of a group under one of its rarest words is settled against that one alone, so a
-   group of near copies costs as many pairs as it has lines.  The rest are joined with all earlier partners.
+   lengths, the places of the word in both and 128-bit maps of their words allow the similarity.  A map has the parity of
+   the words in each of 128 classes, so maps differ in no more bits than the sets in words, and long lines don't fill them.
+4. A line that resembles the first line under one of its four rarest words, or one of the last three before it there, is settled
+   by that one alone, so a group of near copies costs some pairs a line.  The rest are joined with all earlier partners.
 5. Candidate pairs fetch their words again and are verified by the sizes of intersection and union.
 
 Null text has no lines; a line without words is never removed; a null doc_id comes first; rows that share a doc_id are told
@@ -19,7 +21,7 @@ apart by a digest of their text, and those that also share the text are one docu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystrand.llm.common import written
@@ -28,103 +30,163 @@ SIMILARITY = 0.8
 #: Hash counters for words; steps of rarity a power of two has.
 RARITY = 1 << 18
 STEPS = 3
-SPACE = "[\\x20\\x09-\\x0D]+"
+#: The rarest words under which a line is held against the first line and the last few before it, before all others.
+LEADERS, BEFORE = 4, 3
+#: Rows of line names that may be broadcast, some tens of bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
-def words_of(line: str | Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(line, SPACE), ""))
+def words_of(text: str | Column) -> Column:
+    """Words between the six ASCII white spaces; a plain split is several times faster than one by a pattern."""
+    t = F.col(text) if isinstance(text, str) else text
+    for c in "\t\n\x0b\x0c\r":
+        t = F.replace(t, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(t, " "), "")
 
 
-def rarity_steps(docs: DataFrame, counters: int = RARITY) -> bytes:
-    """One character for each counter, from the rarest '!' to '~': a fixed number of bytes."""
-    words = docs.select(F.explode(F.split("text", SPACE)).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(counters)).alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    out = bytearray(b"!" * counters)
-    for c, n in counts.select(F.col("c").cast("int"), F.least(F.lit(93), F.floor(STEPS * F.log2("n"))).cast("int")).toLocalIterator():
-        out[c] = 33 + n
-    return bytes(out)
+def counter_of(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(F.lit(RARITY - 1))
 
 
-def told_apart(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (doc_id, own, text, carry0, ...): own is a digest of the text where any doc_id repeats, else 0."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(f"carry{k}") for k, c in enumerate(carry)])
-    again = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return docs.withColumn("own", F.xxhash64("text") if again else F.lit(0).cast("long"))
+def rarity_steps(docs: DataFrame) -> Column:
+    """The counters' steps as a constant array of ``RARITY`` small numbers."""
+    counts = docs.select(F.explode(words_of("text")).alias("w")).groupBy(counter_of(F.col("w")).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    steps = [0] * RARITY
+    for c, n in counts.select("c", F.least(F.lit(120), F.floor(STEPS * F.log2("n"))).cast("int")).toLocalIterator():
+        steps[c] = n
+    return F.split(F.lit(",".join(map(str, steps))), ",").cast("array<int>")  # folded into a literal by the optimizer
+
+
+class Names:
+    """Names of lines that compare as the lines come: one long where doc_ids are unique and leave room, else a struct."""
+
+    def __init__(self, docs: DataFrame):
+        found = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max(F.octet_length("text")).alias("size"), F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids")).first()
+        self.low, self.bits = found["low"] or 0, max(1, ((found["size"] or 0) + 1).bit_length())
+        whole = (found["high"] or 0) - self.low
+        self.long = found["n"] == found["ids"] and whole.bit_length() + self.bits <= 62 and docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+    def doc(self) -> Column:
+        return F.col("doc_id") if self.long else F.struct("doc_id", F.xxhash64("text").alias("own"))
+
+    def line(self, doc: Column, place: Column) -> Column:
+        return F.call_function("shiftleft", doc - self.low, F.lit(self.bits)).bitwiseOR(place.cast("long")) if self.long else F.struct(doc.alias("doc"), place.alias("place"))
+
+    def parts(self, line: str) -> tuple[Column, Column]:
+        """(document, place) of a line."""
+        c = F.col(line)
+        return (F.shiftright(c, self.bits) + self.low, c.bitwiseAND(F.lit((1 << self.bits) - 1)).cast("int")) if self.long else (c["doc"], c["place"])
+
+
+def lines_of(docs: DataFrame, names: Names) -> DataFrame:
+    """Rows (line, t): a line's name and text."""
+    return docs.select(names.doc().alias("doc"), F.posexplode(F.split("text", "\n")).alias("place", "t")).select(names.line(F.col("doc"), F.col("place")).alias("line"), "t")
+
+
+def ranked_lines(docs: DataFrame, names: Names) -> DataFrame:
+    """Rows (line, again, n, map, map2, prefix): again says that an earlier line has the same words; then the rest is null."""
+    steps = rarity_steps(docs)
 
+    def rank(w: Column) -> Column:
+        step = F.coalesce(F.get(steps, counter_of(w)), F.lit(0)).cast("long")  # never null, so arrays of ranks sort as plain longs
+        return F.call_function("shiftleft", step, F.lit(56)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """Rows (line, t) of documents told apart: a line's name, the struct (doc_id, own, place), and its text."""
-    return docs.select("doc_id", "own", F.posexplode(F.split("text", "\n")).alias("place", "t")).select(F.struct("doc_id", "own", "place").alias("line"), "t")
+    lines = lines_of(docs, names).select("line", F.sort_array(F.array_distinct(F.transform(words_of("t"), rank))).alias("ranks")).where(F.size("ranks") > 0)
+    n = F.size("ranks")
 
+    def parity(half: int) -> Column:
+        def bit(r: Column) -> Column:
+            own = F.shiftright(r, 6).bitwiseAND(F.lit(1).cast("long"))
+            return F.call_function("shiftleft", own if half else F.lit(1).cast("long") - own, r.bitwiseAND(F.lit(63).cast("long")).cast("int"))
 
-def first_lines(docs: DataFrame, steps: bytes) -> DataFrame:
-    """Rows (line, n, map, prefix): the first line of each set of words; line is a struct (doc_id, own, place)."""
-    table, counters = F.lit(steps), len(steps)
+        return F.aggregate("ranks", F.lit(0).cast("long"), lambda a, r: a.bitwiseXOR(bit(r)))
 
-    def ranked(w: Column) -> Column:
-        return F.concat(F.substring(table, (F.pmod(F.xxhash64(w), F.lit(counters)) + 1).cast("int"), F.lit(1)).cast("string"), w)
+    prefix = F.slice("ranks", F.lit(1), (n - F.ceil(n * SIMILARITY - 1e-9) + 1).cast("int"))
+    some = lines.select("line", n.alias("n"), parity(0).alias("map"), parity(1).alias("map2"), prefix.alias("prefix"), F.xxhash64("ranks").alias("d1"), F.xxhash64(F.reverse("ranks")).alias("d2"))
+    again = F.row_number().over(Window.partitionBy("d1", "d2").orderBy("line")) > 1
+    return some.withColumn("again", again).select("line", "again", *[F.when(~F.col("again"), F.col(c)).alias(c) for c in ("n", "map", "map2", "prefix")])
 
-    lines = lines_of(docs).select("line", F.sort_array(F.transform(words_of("t"), ranked)).alias("words"))
-    n = F.size("words")
-    some = lines.where(n > 0).select("line", n.alias("n"), "words", F.md5(F.array_join("words", " ")).alias("digest"))
-    prefix = F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1
-    hashes = F.transform(F.slice("words", F.lit(1), prefix.cast("int")), lambda w: F.xxhash64(w))
-    bits = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(w), F.lit(64)))))
-    kept = some.select("digest", "line", F.struct("n", bits.alias("map"), hashes.alias("prefix")).alias("body"))
-    return kept.groupBy("digest").agg(F.min("line").alias("line"), F.min_by("body", "line").alias("body")).select("line", "body.*")
+
+def postings(firsts: DataFrame, prefix: str | Column = "prefix", settled: Column | None = None) -> DataFrame:
+    """Rows (key, line, meta, map, map2): meta has the line's size, the word's place, and in the lowest bit if the line is settled."""
+    low = F.lit(0) if settled is None else settled.cast("int")
+    exploded = firsts.select("line", "n", "map", "map2", low.alias("low"), F.posexplode(prefix).alias("at", "key"))
+    return exploded.select("key", "line", (F.col("n").cast("long") * 2**31 + F.col("at") * 2 + F.col("low")).alias("meta"), "map", "map2")
 
 
 def may_match(a: str, b: str) -> Column:
-    """Length, positional and bitmap filters on two postings."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    least = F.ceil((na + nb) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9)
-    lengths = (F.least(na, nb) >= F.greatest(na, nb) * SIMILARITY - 1e-9)
-    places = F.least(na - F.col(f"{a}.at"), nb - F.col(f"{b}.at")) >= least - F.least(F.col(f"{a}.at"), F.col(f"{b}.at"))
-    maps = F.bit_count(F.col(f"{a}.map").bitwiseXOR(F.col(f"{b}.map"))) <= na + nb - 2 * least
-    return lengths & places & maps
-
-
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rows (later): the lines whose earlier partner in a pair (earlier, later) is similar enough."""
-    pairs = written(pairs.distinct(), "line-pairs")
-    wanted = pairs.select(F.explode(F.array("earlier", "later")).alias("line")).distinct()
-    ids = wanted.select("line.doc_id", "line.own").distinct()
-    some = docs.select("doc_id", "own", "text").join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]) & (docs["own"] == ids["own"]), "left_semi")
-    held = lines_of(some).join(wanted, "line", "left_semi").dropDuplicates(["line"]).select("line", words_of("t").alias("w"))
-    a, b = held.select(F.col("line").alias("earlier"), F.col("w").alias("wa")), held.select(F.col("line").alias("later"), F.col("w").alias("wb"))
-    both = pairs.join(a, "earlier").join(b, "later")
-    same = F.size(F.array_intersect("wa", "wb"))
-    return both.where(same >= (F.size("wa") + F.size("wb") - same) * SIMILARITY - 1e-9).select("later").distinct()
+    """Length, positional and bitmap filters on two postings, whose columns start with ``a`` and ``b``."""
+    meta_a, meta_b = F.col(a + "meta"), F.col(b + "meta")
+    na, nb = (F.shiftright(m, 31) for m in (meta_a, meta_b))
+    at, bt = (F.shiftright(m.bitwiseAND(F.lit(2**31 - 1)), 1) for m in (meta_a, meta_b))
+    least = least_overlap(na, nb)
+    lengths = F.least(na, nb) >= F.greatest(na, nb) * SIMILARITY - 1e-9
+    # Similar lines have a first word in common, before which they share none: what follows it must hold the overlap.
+    places = F.least(na - at, nb - bt) >= least
+    differ = F.bit_count(F.col(a + "map").bitwiseXOR(F.col(b + "map"))) + F.bit_count(F.col(a + "map2").bitwiseXOR(F.col(b + "map2")))
+    return lengths & places & (differ <= na + nb - 2 * least)
+
 
+def least_overlap(na: Column, nb: Column) -> Column:
+    return F.ceil((na + nb) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9)
 
-def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(first lines of their sets, those of them that resemble an earlier line)."""
-    firsts = written(first_lines(docs, rarity_steps(docs)), "first-lines")
 
-    def postings(rows: DataFrame, prefix: str | Column = "prefix") -> DataFrame:
-        return rows.select(*[c for c in rows.columns if c != "prefix"], F.posexplode(prefix).alias("at", "key"))
+def small(rows: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has no more than ``BROADCAST_ROWS`` rows."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
-    few = postings(firsts, F.slice("prefix", 1, 3))
-    lead = few.groupBy("key").agg(F.min(F.struct("line", "n", "map", "at")).alias("p"), F.count(F.lit(1)).alias("of")).where("of > 1").select("key", "p.*")
-    near = few.alias("b").join(lead.alias("a"), "key").where((F.col("a.line") < F.col("b.line")) & may_match("a", "b"))
-    settled = written(verified(near.select(F.col("a.line").alias("earlier"), F.col("b.line").alias("later")), docs), "settled-lines")
-    flagged = firsts.join(settled.select(F.col("later").alias("line"), F.lit(1).alias("settled")), "line", "left").withColumn("settled", F.coalesce("settled", F.lit(0)))
-    posted = postings(flagged)
-    # The flag is compared across both sides, so that both read the same shuffled postings.
-    open_ = F.col("b.settled") * 2 + F.col("a.settled") < 2
-    pairs = posted.alias("a").join(posted.alias("b"), "key").where((F.col("a.line") < F.col("b.line")) & open_ & may_match("a", "b"))
-    late = verified(pairs.select(F.col("a.line").alias("earlier"), F.col("b.line").alias("later")), docs)
-    return firsts, settled.unionByName(late).distinct()
+
+def verified(pairs: DataFrame, docs: DataFrame, names: Names) -> DataFrame:
+    """Rows (line): those whose earlier partner in a pair (earlier, later) is similar enough, by the 64-bit hashes of their words."""
+    pairs = written(pairs, "line-pairs")
+    wanted = small(written(pairs.select(F.explode(F.array("earlier", "later")).alias("line")).distinct(), "lines-wanted"))
+    held = lines_of(docs, names).join(wanted, "line", "left_semi").select("line", F.array_distinct(F.transform(words_of("t"), lambda w: F.xxhash64(w))).alias("w"))
+    a, b = held.select(F.col("line").alias("earlier"), F.col("w").alias("wa")), held.select(F.col("line").alias("later"), F.col("w").alias("wb"))
+    both = pairs.join(a, "earlier").join(b, "later")
+    same = F.size(F.array_intersect("wa", "wb"))
+    return written(both.where(same >= (F.size("wa") + F.size("wb") - same) * SIMILARITY - 1e-9).select(F.col("later").alias("line")).distinct(), "lines-verified")
+
+
+def verified_by_turns(pairs: DataFrame, docs: DataFrame, names: Names) -> DataFrame:
+    """As ``verified``, but a line meets its other partners only if the earliest one was not similar enough."""
+    pairs = written(pairs, "line-partners")
+    sure = verified(pairs.groupBy("later").agg(F.min("earlier").alias("earlier")), docs, names)
+    rest = pairs.join(sure.withColumnRenamed("line", "later"), "later", "left_anti")
+    return sure.unionByName(verified(rest, docs, names))
+
+
+def removed_lines(docs: DataFrame, names: Names) -> DataFrame:
+    """Rows (line)."""
+    docs = docs if names.long else docs.dropDuplicates(["doc_id", "text"])
+    ranked = written(ranked_lines(docs, names), "ranked-lines")
+    firsts = ranked.where(~F.col("again")).select("line", "n", "map", "map2", "prefix")
+    order = Window.partitionBy("key").orderBy("line")
+    posted = ("line", "meta", "map", "map2")
+    rows = postings(firsts, F.slice("prefix", 1, LEADERS))
+    before = [F.struct(*[f(c).over(order).alias(f"p_{c}") for c in posted]) for f in (F.first, *[lambda c, k=k: F.lag(c, k) for k in range(1, BEFORE + 1)])]
+    led = rows.select(*posted, *[b.alias(f"before{k}") for k, b in enumerate(before)])
+    led = led.select(*posted, F.explode(F.array(*[f"before{k}" for k in range(len(before))])).alias("p")).select(*posted, "p.*")
+    near = led.where((F.col("p_line") < F.col("line")) & may_match("p_", ""))
+    settled = verified_by_turns(near.select(F.col("p_line").alias("earlier"), F.col("line").alias("later")).distinct(), docs, names)
+    flagged = firsts.join(small(settled).withColumn("settled", F.lit(True)), "line", "left")
+    posted = postings(flagged, settled=F.coalesce("settled", F.lit(False)))
+    a, b = posted.alias("a"), posted.alias("b")
+    # A settled line needs no partner; told from both sides' columns, so that both read the same shuffled postings.
+    open_ = (F.col("b.meta").bitwiseAND(F.lit(1)) * 2 + F.col("a.meta").bitwiseAND(F.lit(1))) < 2
+    pairs = a.join(b, "key").where((F.col("a.line") < F.col("b.line")) & open_ & may_match("a.", "b."))
+    late = verified_by_turns(pairs.select(F.col("a.line").alias("earlier"), F.col("b.line").alias("later")).distinct(), docs, names)
+    return ranked.where("again").select("line").unionByName(settled).unionByName(late)
 
 
 def dedup_lines(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows (doc_id, text, n_lines, n_removed, *carry): the text of the lines that stay, joined by newlines."""
-    docs = told_apart(docs, carry)
-    firsts, late = removed_lines(docs)
-    kept = firsts.join(late.select(F.col("later").alias("line")), "line", "left_anti").select("line")
-    by_doc = kept.groupBy(F.col("line.doc_id").alias("kd"), F.col("line.own").alias("ko")).agg(F.collect_list("line.place").alias("places"))
-    joined = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("kd")) & (F.col("own") == F.col("ko")), "left")
-    lines = F.split("text", "\n")
-    stays = F.filter(F.arrays_zip(lines.alias("l"), F.sequence(F.lit(0), F.size(lines) - 1).alias("i")), lambda x: F.array_contains(F.coalesce("places", F.array().cast("array<int>")), x["i"]) | F.regexp_like(x["l"], F.lit("^[\\x20\\x09-\\x0D]*$")))
-    left = joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("left", F.transform(stays, lambda x: x["l"]))
-    return left.select("doc_id", F.array_join("left", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.coalesce(F.size("left"), F.lit(0))).cast("long").alias("n_removed"), *[F.col(f"carry{k}").alias(c) for k, c in enumerate(carry)])
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(f"carry{k}") for k, c in enumerate(carry)])
+    names = Names(docs)
+    doc, place = names.parts("line")
+    gone = removed_lines(docs.select("doc_id", "text"), names).select(doc.alias("doc"), place.alias("place")).groupBy("doc").agg(F.collect_set("place").alias("places"))
+    joined = docs.withColumn("doc", names.doc()).join(small(written(gone, "gone-lines")), "doc", "left").withColumn("lines", F.when(F.col("places").isNotNull(), F.split("text", "\n")))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "places"), lambda k: F.get("lines", k))
+    text = F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    n_removed = F.coalesce(F.size("places"), F.lit(0)).cast("long")
+    return joined.select("doc_id", text.alias("text"), n_lines.alias("n_lines"), n_removed.alias("n_removed"), *[F.col(f"carry{k}").alias(c) for k, c in enumerate(carry)])
