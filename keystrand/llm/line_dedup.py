@@ -12,7 +12,8 @@ Jaccard similarity of at least ``SIMILARITY`` with it; lines are judged on the i
    lengths, the places of the word in both and 128-bit maps of their words allow the similarity.  A map has the parity of
    the words in each of 128 classes, so maps differ in no more bits than the sets in words, and long lines don't fill them.
 4. A line that resembles the first line under one of its four rarest words, or one of the last three before it there, is settled
-   by that one alone, so a group of near copies costs some pairs a line.  The rest are joined with all earlier partners.
+   by that one alone, so a group of near copies costs some pairs a line.  The rest are joined with all earlier partners; a pair
+   that shares one of the two words posted just before is left to that word, so few pairs meet under every word they share.
 5. Candidate pairs fetch their words again and are verified by the sizes of intersection and union.
 
 Null text has no lines; a line without words is never removed; a null doc_id comes first; rows that share a doc_id are told
@@ -107,11 +108,26 @@ def ranked_lines(docs: DataFrame, names: Names) -> DataFrame:
     return some.withColumn("again", again).select("line", "again", *[F.when(~F.col("again"), F.col(c)).alias(c) for c in ("n", "map", "map2", "prefix")])
 
 
-def postings(firsts: DataFrame, prefix: str | Column = "prefix", settled: Column | None = None) -> DataFrame:
+def postings(firsts: DataFrame, prefix: Column) -> DataFrame:
     """Rows (key, line, meta, map, map2): meta has the line's size, the word's place, and in the lowest bit if the line is settled."""
-    low = F.lit(0) if settled is None else settled.cast("int")
-    exploded = firsts.select("line", "n", "map", "map2", low.alias("low"), F.posexplode(prefix).alias("at", "key"))
-    return exploded.select("key", "line", (F.col("n").cast("long") * 2**31 + F.col("at") * 2 + F.col("low")).alias("meta"), "map", "map2")
+    exploded = firsts.select("line", "n", "map", "map2", F.posexplode(prefix).alias("at", "key"))
+    return exploded.select("key", "line", (F.col("n").cast("long") * 2**31 + F.col("at") * 2).alias("meta"), "map", "map2")
+
+
+def with_words_before(firsts: DataFrame, settled: Column) -> DataFrame:
+    """Postings with the two words posted before each, nulls where there are none."""
+    exploded = firsts.select("line", "n", "map", "map2", settled.cast("int").alias("low"), "prefix", F.posexplode("prefix").alias("at", "key"))
+    meta = (F.col("n").cast("long") * 2**31 + F.col("at") * 2 + F.col("low")).alias("meta")
+    return exploded.select("key", "line", meta, "map", "map2", *[F.when(F.col("at") >= k, F.get("prefix", F.col("at") - k)).alias(f"before{k}") for k in (1, 2)])
+
+
+def met_before(a: str, b: str) -> Column:
+    """Whether the lines share one of the two words before this one: then they meet, or have met, under that."""
+    met = F.lit(False)
+    for j in (1, 2):
+        for k in (1, 2):
+            met = met | F.coalesce(F.col(f"{a}before{j}") == F.col(f"{b}before{k}"), F.lit(False))
+    return met
 
 
 def may_match(a: str, b: str) -> Column:
@@ -169,11 +185,11 @@ def removed_lines(docs: DataFrame, names: Names) -> DataFrame:
     near = led.where((F.col("p_line") < F.col("line")) & may_match("p_", ""))
     settled = verified_by_turns(near.select(F.col("p_line").alias("earlier"), F.col("line").alias("later")).distinct(), docs, names)
     flagged = firsts.join(small(settled).withColumn("settled", F.lit(True)), "line", "left")
-    posted = postings(flagged, settled=F.coalesce("settled", F.lit(False)))
+    posted = with_words_before(flagged, F.coalesce("settled", F.lit(False)))
     a, b = posted.alias("a"), posted.alias("b")
     # A settled line needs no partner; told from both sides' columns, so that both read the same shuffled postings.
     open_ = (F.col("b.meta").bitwiseAND(F.lit(1)) * 2 + F.col("a.meta").bitwiseAND(F.lit(1))) < 2
-    pairs = a.join(b, "key").where((F.col("a.line") < F.col("b.line")) & open_ & may_match("a.", "b."))
+    pairs = a.join(b, "key").where((F.col("a.line") < F.col("b.line")) & open_ & ~met_before("a.", "b.") & may_match("a.", "b."))
     late = verified_by_turns(pairs.select(F.col("a.line").alias("earlier"), F.col("b.line").alias("later")).distinct(), docs, names)
     return ranked.where("again").select("line").unionByName(settled).unionByName(late)
 
