@@ -15,6 +15,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keystrand.plans.shipping import ship
+
 #: Text bytes that one ordered chunk aims at; a task holds one chunk at a time.
 CHUNK_BYTES = 16_000_000
 
@@ -55,9 +57,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver's; the package goes to the workers with it."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_held: dict = {}
+
+
+def held(key: tuple, make):
+    """What a Python worker keeps from one task to the next: one object, dropped as soon as another kind is asked for."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def as_binary(rows: list[bytes | None]) -> pa.Array:
     return pa.array(rows, pa.binary())
 

@@ -25,9 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keystrand.llm.common import held, slices
+
 ORDER = 3
 TRAIN_BYTES = 2_000_000
 SCORE_BYTES = 64
+#: Rows, and code points, that are coded at a time.
+ROWS, SLICE = 1000, 1_000_000
 #: Code length units of one bit.
 UNIT = 1 << 16
 #: A-Z count as a-z; the byte before a text's start.
@@ -65,9 +69,11 @@ def count_grams(sample: DataFrame) -> DataFrame:
         for b in batches:
             langs = np.array(b.column(0).to_pylist(), dtype=object)
             for lang in sorted(set(langs)):
-                data, offsets = fold_texts(b.column(1).filter(pa.array(langs == lang)))
-                grams, n = np.unique(contexts(data, offsets).astype(np.int64) << 8 | data, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], names=["lang", "gram", "n"])
+                own = b.column(1).filter(pa.array(langs == lang))
+                for i in range(0, len(own), ROWS):
+                    data, offsets = fold_texts(own.slice(i, ROWS))
+                    grams, n = np.unique(contexts(data, offsets).astype(np.int64) << 8 | data, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], names=["lang", "gram", "n"])
 
     counted = sample.select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -142,40 +148,40 @@ class Coder:
         return out, sizes
 
 
-_compiled: dict[str, Coder] = {}
-
-
-def predict(docs: DataFrame, model: dict[str, tuple[np.ndarray, np.ndarray]], carry: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (*carry, lang_pred, score, bits_per_byte): the winner's posterior and code length."""
+def predict(docs: DataFrame, model: dict[str, tuple[np.ndarray, np.ndarray]], carry: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
+    """Rows (*carry, text if asked for, lang_pred, score, bits_per_byte): the winner's posterior and code length."""
     import uuid
 
     spark = docs.sparkSession
     shared, name = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _compiled and shared.value:
-            _compiled.clear()
-            _compiled[name] = Coder(shared.value)
-        coder = _compiled.get(name)
+        coder = held(("coder", name), lambda: Coder(shared.value)) if shared.value else None
         for b in batches:
             n = len(b)
             if coder is None:
                 found = [pa.array(["und"] * n), pa.array([0.0] * n), pa.array([None] * n, pa.float64())]
             else:
-                lettered = np.array([t is not None and next(filter(str.isalpha, t), None) is not None for t in b.column(0).to_pylist()], dtype=bool)
-                lengths, sizes = coder.lengths(b.column(0))
+                lettered, parts = [], []
+                for i in range(0, n, ROWS):
+                    texts = b.column(0).slice(i, ROWS).to_pylist()
+                    lettered += [t is not None and next(filter(str.isalpha, t), None) is not None for t in texts]
+                    parts += [coder.lengths(b.column(0).slice(i + p, q - p)) for p, q in slices(texts, SLICE)]
+                lettered = np.array(lettered, dtype=bool)
+                lengths, sizes = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else coder.lengths(b.column(0))
                 best = lengths.argmin(axis=1)
                 least = lengths.min(axis=1)
                 scale = np.minimum(sizes, SCORE_BYTES) / np.maximum(sizes, 1) / UNIT
                 score = 1 / np.exp2(-(lengths - least[:, None]) * scale[:, None]).sum(axis=1)
                 names = np.where(lettered, np.array(coder.languages, dtype=object)[best], "und")
                 found = [pa.array(names.tolist(), pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(least / UNIT / np.maximum(sizes, 1), mask=~lettered)]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *found], names=[*b.schema.names[1:], "p0", "p1", "p2"])
+            yield pa.RecordBatch.from_arrays([*b.columns[first:], *found], names=[*b.schema.names[first:], "p0", "p1", "p2"])
 
-    held = docs.select(F.col("text").alias("c"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)])
-    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in held.schema.fields[1:]) + "p0 string, p1 double, p2 double"
-    out = held.mapInArrow(run, schema)
-    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(carry)], F.col("p0").alias("lang_pred"), F.col("p1").alias("score"), F.col("p2").alias("bits_per_byte"))
+    first = 0 if keep_text else 1
+    rows = docs.select(F.col("text").alias("c"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)])
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[first:]) + "p0 string, p1 double, p2 double"
+    out = rows.mapInArrow(run, schema)
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(carry)], *[F.col("c").alias("text")] * keep_text, F.col("p0").alias("lang_pred"), F.col("p1").alias("score"), F.col("p2").alias("bits_per_byte"))
 
 
 def fold_of(doc_id: str = "doc_id") -> Column:

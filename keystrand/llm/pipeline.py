@@ -16,6 +16,7 @@ from keystrand.llm.packing import pack_documents
 from keystrand.llm.queries import vocabulary
 from keystrand.llm.simhash_dedup import near_duplicates
 from keystrand.llm.substring_dedup import dedup_substrings
+from keystrand.plans.shipping import ship
 
 #: Code length, in bits a byte, above which no learned language explains a text better than random bytes would be.
 MOST_BITS = 8.0
@@ -34,12 +35,12 @@ def _like(found: DataFrame, docs: DataFrame) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what is no text of a learned language: null, without a letter, or costlier than random bytes; a missing label is filled in."""
     model = li.fit(docs, li.fold_of() != 1)
-    names = [f"c{k}" for k in range(len(docs.columns))]
-    held = docs.toDF(*names).select("*", F.col(names[docs.columns.index("text")]).alias("text"))
-    found = li.predict(held, model, tuple(names))
+    others = [c for c in docs.columns if c != "text"]
+    names = {c: f"held{k}" for k, c in enumerate(others)}
+    found = li.predict(docs.select("text", *[F.col(f"`{c}`").alias(n) for c, n in names.items()]), model, tuple(names.values()), keep_text=True)
     keep = found.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= MOST_BITS))
-    label = F.coalesce(F.col(names[docs.columns.index("lang")]), F.col("lang_pred"))
-    return keep.select(*[(label if c == "lang" else F.col(n)).alias(c) for c, n in zip(docs.columns, names, strict=True)])
+    own = {"text": F.col("text"), "lang": F.coalesce(F.col(names["lang"]), F.col("lang_pred"))}
+    return keep.select(*[own.get(c, F.col(names.get(c, c))).alias(c) for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,12 +71,22 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return pack_documents(docs, vocabulary("byte_bpe_50k.json"))
 
 
+def shipped(stage):
+    """The stage, with the package sent to the workers before."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language_id", identify_language),
-    ("line_dedup", drop_repeated_lines),
-    ("simhash_near_dedup", drop_near_copies),
-    ("substring_dedup", cut_repeated_passages),
-    ("best_fit_packing", pack_sequences),
+    ("language_id", shipped(identify_language)),
+    ("line_dedup", shipped(drop_repeated_lines)),
+    ("simhash_near_dedup", shipped(drop_near_copies)),
+    ("substring_dedup", shipped(cut_repeated_passages)),
+    ("best_fit_packing", shipped(pack_sequences)),
 ]
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystrand.llm.common import slices, written
+from keystrand.llm.common import held, slices, written
 
 SEED = 42
 DISTANCE = 3
@@ -82,6 +82,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, fp), the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("fingerprints",), dict)  # lets go of what another operator kept in this worker
         for b in batches:
             texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
             found = [text_fingerprints(texts[i:j]) for i, j in slices(texts, 1_000_000)]

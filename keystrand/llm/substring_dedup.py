@@ -26,14 +26,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrand.llm.common import CHUNK_BYTES, as_binary, by_chunk, ordered_chunks, unzipped
+from keystrand.llm.common import as_binary, by_chunk, held, ordered_chunks, unzipped
 
 WIDTH = 20
+#: Text bytes for each chunk: a task holds some ten numbers for each word of one.
+CHUNK_BYTES = 5_000_000
 #: Text bytes for each bucket of hashes.
 BUCKET_BYTES = 9_000_000
 #: The polynomial's base, odd, and words whose hashes a worker keeps.
 BASE = 0x9E3779B97F4A7C15
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 200_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -75,6 +77,10 @@ class Windows:
         return (sums[starts + self.width] - sums[starts]) * self.down[starts], starts, sizes
 
 
+def worker_windows(width: int) -> Windows:
+    return held(("windows", width), lambda: Windows(width))
+
+
 def packed_hashes(values: np.ndarray) -> bytes:
     """Ascending distinct values as a first value and differences of one width."""
     steps = np.diff(values)
@@ -96,7 +102,7 @@ def send_hashes(chunks: DataFrame, n_chunks: int, n_buckets: int, width: int) ->
     """Rows (bucket, chunk, body): a chunk's distinct window hashes by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, texts, current = Windows(width), [], None
+        windows, texts, current = worker_windows(width), [], None
 
         def finish() -> pa.RecordBatch:
             values = np.unique(windows.of(texts)[0])
@@ -174,10 +180,10 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, keep_space: bool = Fal
     n_chunks = len(bounds) + 1
     n_buckets = max(1, math.ceil(n_chunks * chunk_bytes / BUCKET_BYTES))
     answers = answer_hashes(send_hashes(chunks, n_chunks, n_buckets, width), n_buckets)
-    held = [f for f in chunks.schema.fields if f.name.startswith("carry")]
+    carried = [f for f in chunks.schema.fields if f.name.startswith("carry")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, current, known, rows, hashed = Windows(width), None, [], [], []
+        windows, current, known, rows, hashed = worker_windows(width), None, [], [], []
 
         def finish() -> Iterator[pa.RecordBatch]:
             values, starts, sizes = windows.of(hashed)
@@ -230,9 +236,9 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, keep_space: bool = Fal
         if rows:
             yield from finish()
 
-    docs_part = chunks.select("chunk", F.lit(None).cast("binary").alias("body"), "doc_id", "ztext", F.lit(True).alias("is_doc"), *[f.name for f in held])
-    answers_part = answers.select("chunk", "body", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("ztext"), F.lit(False).alias("is_doc"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in held])
+    docs_part = chunks.select("chunk", F.lit(None).cast("binary").alias("body"), "doc_id", "ztext", F.lit(True).alias("is_doc"), *[f.name for f in carried])
+    answers_part = answers.select("chunk", "body", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("ztext"), F.lit(False).alias("is_doc"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in carried])
     both = answers_part.unionByName(docs_part).repartitionById(n_chunks, F.col("chunk")).sortWithinPartitions("chunk", "is_doc", "doc_id", "ztext")
-    schema = "doc_id long, n_words long, n_removed long, removed array<struct<start: int, end: int>>, kept string" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in held)
+    schema = "doc_id long, n_words long, n_removed long, removed array<struct<start: int, end: int>>, kept string" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in carried)
     out = both.mapInArrow(run, schema)
-    return out.select("doc_id", "n_words", "n_removed", "removed", "kept", *[F.col(f.name).alias(c) for f, c in zip(held, carry, strict=True)])
+    return out.select("doc_id", "n_words", "n_removed", "removed", "kept", *[F.col(f.name).alias(c) for f, c in zip(carried, carry, strict=True)])

@@ -8,12 +8,11 @@ text whose parts could influence each other (runs of white space) goes to the li
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
 
-from keystrand.llm.common import slices
+from keystrand.llm.common import held, slices
 
 #: Words that a worker keeps between batches.
 KEPT_WORDS = 1_000_000
@@ -191,7 +190,6 @@ class WordEncoder:
         return [found[w] for w in words]
 
 
-@lru_cache(maxsize=2)
-def worker_encoder(path: str, drops_space: bool) -> WordEncoder:
+def worker_encoder(path: str, drops_space: bool, kept: int = KEPT_WORDS) -> WordEncoder:
     """The encoder of this Python worker: what one task learned serves the next."""
-    return WordEncoder(path, drops_space)
+    return held(("encoder", path, drops_space, kept), lambda: WordEncoder(path, drops_space, kept))
