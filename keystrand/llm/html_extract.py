@@ -7,10 +7,12 @@ Vectors are compared by page count, occurrences and an XOR of hashes of (page, c
 tokens on at least ``MIN_SHARE`` of the host's pages (and ``MIN_PAGES`` pages) that are ordered and nest without crossing make the
 template.  What stands between template tokens are slots; a text that belongs to a class is template, not content.
 
-The main text is that of the slots inside ``article`` or ``main`` elements, or of all slots of the body if a page has neither,
-but for those inside menus, page headers, footers, sidebars, notices, adverts, forms and reader comments, which their tags, roles
-or class words name.  Inside an article no text counts as template, so what many articles share stays.  Scripts, styles and
-comments are no tokens.  Character references are decoded, white space in a block becomes one space, and blocks are
+The main text is that of all slots of the body, but for those inside menus, page headers, footers, sidebars, notices, adverts,
+forms and reader comments, which their tags, roles or class words name.  An ``article`` or ``main`` element is a hint: text outside
+it is judged as on any page, and inside it a text counts as template only if it is of one class with the start tags of its own
+element and of the article, and only with its whole block, so a passage that many articles share stays.  A host of
+fewer than ``MIN_PAGES`` different texts has no template, and a page that its template would leave without text keeps all that isn't
+set aside.  Scripts, styles and comments are no tokens.  Character references are decoded, white space in a block becomes one space, and blocks are
 joined by one space in page order.
 
 A null or empty html gives an empty text; a null or odd url is a host of its own kind; repeated rows and extra columns do no
@@ -22,7 +24,8 @@ from __future__ import annotations
 import html
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from types import MappingProxyType
 
 import pyarrow as pa
 import xxhash
@@ -53,12 +56,11 @@ def _hash(*parts) -> int:
 
 
 class Page:
-    """``items``: (token, text or None, ends a block, set aside, inside an article) in page order."""
+    """``items``: (token, text or None, ends a block, set aside, article, element) in page order; the last two are start tags' tokens, 0 for none."""
 
     def __init__(self, source: str):
-        self.items: list[tuple[int, str | None, bool, bool, bool]] = []
-        self.has_article = False
-        self.stack: list[tuple[str, int, bool, bool]] = []  # name, path, set aside, inside an article
+        self.items: list[tuple[int, str | None, bool, bool, int, int]] = []
+        self.stack: list[tuple[str, int, bool, int]] = []  # name, path, set aside, article
         at = 0
         for m in TOKEN.finditer(source):
             if m.start() > at:
@@ -69,12 +71,12 @@ class Page:
         if at < len(source):
             self._text(source[at:])
 
-    def _top(self) -> tuple[str, int, bool, bool]:
-        return self.stack[-1] if self.stack else ("", 0, False, False)
+    def _top(self) -> tuple[str, int, bool, int]:
+        return self.stack[-1] if self.stack else ("", 0, False, 0)
 
     def _text(self, raw: str) -> None:
         _, path, aside, article = self._top()
-        self.items.append((0 if article or raw.isspace() else _hash(path, "text", " ".join(raw.split())), raw, False, aside, article))
+        self.items.append((0 if raw.isspace() else _hash(path, "text", " ".join(raw.split())), raw, False, aside, article, path))
 
     def _start(self, name: str, attributes: str) -> None:
         closes = CLOSES.get(name, set()) | ({"p"} if name in ENDS_P else set())
@@ -90,10 +92,9 @@ class Page:
         words = sorted({w for m in NAMES.finditer(attributes) for w in re.split(r"[\s_\-]+", (m[1] or m[2] or m[3] or "").lower()) if w}) if attributes else []
         is_article = name in ("article", "main") or "main" in words and "role" in attributes
         aside = aside or name in ASIDE_TAGS or not ASIDE_WORDS.isdisjoint(words) or name == "header" and not article
-        article = article or is_article and not aside
-        self.has_article = self.has_article or article
         path = _hash(path, name, *words)
-        self.items.append((path, None, name in BLOCK_TAGS, aside, article))
+        article = article or (path if is_article and not aside else 0)
+        self.items.append((path, None, name in BLOCK_TAGS, aside, article, path))
         if name not in VOID_TAGS and not attributes.endswith("/"):
             self.stack.append((name, path, aside, article))
 
@@ -101,24 +102,39 @@ class Page:
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == name:
                 _, path, aside, article = self.stack[k]
-                self.items.append((_hash(path, "end"), None, name in BLOCK_TAGS, aside, article))
+                self.items.append((_hash(path, "end"), None, name in BLOCK_TAGS, aside, article, path))
                 del self.stack[k:]
                 return
         if name in BLOCK_TAGS:
-            self.items.append((0, None, True, self._top()[2], self._top()[3]))
+            self.items.append((0, None, True, *self._top()[2:], 0))
 
-    def main_text(self, template: frozenset[int] = frozenset()) -> str:
-        """Text of the slots that hold the article."""
-        blocks, inline = [], []
-        for token, text, block, aside, article in self.items:
+    def kind(self) -> int:
+        """Hash of the texts that aren't set aside: pages that differ in nothing else are copies."""
+        return _hash(*(token for token, text, _, aside, *_ in self.items if token and text is not None and not aside))
+
+    def main_text(self, template: Mapping[int, int] = MappingProxyType({})) -> str:
+        """Text of the slots; ``template`` maps a token to the number of its class."""
+        return self._slots(template) or (self._slots({}) if template else "")
+
+    def _slots(self, template: Mapping[int, int]) -> str:
+        blocks, inline, is_slot = [], [], False
+        for token, text, block, aside, article, element in self.items:
             if text is None:
                 if block and inline:
-                    blocks.append("".join(inline))
-                    inline = []
-            elif not aside and (article or not self.has_article and token not in template):
+                    blocks += inline if is_slot else []
+                    blocks.append(" ")
+                    inline, is_slot = [], False
+            elif not aside:
+                number = template.get(token)
+                if article:
+                    is_slot = is_slot or token != 0 and (number is None or number != template.get(element) or number != template.get(article))
+                elif number is None:
+                    is_slot = is_slot or token != 0
+                else:
+                    continue
                 inline.append(html.unescape(text))
-        blocks.append("".join(inline))
-        return " ".join(w for b in blocks for w in b.split())
+        blocks += inline if is_slot else []
+        return " ".join("".join(blocks).split())
 
 
 def host_of(url: str = "url"):
@@ -128,7 +144,9 @@ def host_of(url: str = "url"):
 def occurrences(pages: DataFrame) -> DataFrame:
     """Rows (host, token, pages, times, vector, place): the sums of each token's occurrences on the host's pages.
 
-    place: the sum of the places of its first occurrence, in thousandths of the page's tokens.  Token 0 stands on every page.
+    place: the sum of the places of its first occurrence, in thousandths of the page's tokens.  Token 0 stands on every page.  A
+    text in an article is left out of a page where it can't be of its element's and article's class.  Rows of times 0 are the
+    host's different texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,10 +154,15 @@ def occurrences(pages: DataFrame) -> DataFrame:
             sums: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
             for page_id, host, source in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 found: dict[int, list[int]] = {0: [1, 0]}
-                items = Page(source or "").items
+                page = Page(source or "")
+                items = page.items
                 for k, (token, *_) in enumerate(items):
                     if token:
                         found.setdefault(token, [0, 1000 * k // len(items)])[0] += 1
+                for token, text, _, _, article, element in items:
+                    if text is not None and article and token in found and not found[token][0] == found[element][0] == found[article][0]:
+                        del found[token]
+                sums[host, page.kind()][0] += 1
                 for token, (n, place) in found.items():
                     s = sums[host, token]
                     s[0] += 1
@@ -159,23 +182,29 @@ def templates(pages: DataFrame) -> DataFrame:
     A class's tokens stand on at least half of the host's pages, so a host has no more of them than twice a page has.
     """
     counted = written(occurrences(pages), "occurrences")
-    sizes = counted.where("token = 0").select("host", F.col("pages").alias("of"))
-    often = counted.where(f"token <> 0 and pages >= {MIN_PAGES}").join(sizes, "host").where(F.col("pages") >= MIN_SHARE * F.col("of"))
+    of, kinds = F.sum(F.when(F.col("token") == 0, F.col("pages"))).alias("of"), F.count_if(F.col("times") == 0).alias("kinds")
+    sizes = counted.where("token = 0 or times = 0").groupBy("host").agg(of, kinds).where(F.col("kinds") >= MIN_PAGES).drop("kinds")
+    often = counted.where(f"token <> 0 and times <> 0 and pages >= {MIN_PAGES}").join(sizes, "host").where(F.col("pages") >= MIN_SHARE * F.col("of"))
     member = F.struct((F.col("place") / F.col("pages")).alias("place"), "token")
     classes = often.groupBy("host", "pages", "times", "vector").agg(F.sort_array(F.collect_list(member)).alias("members")).where(F.size("members") >= MIN_SIZE)
     return classes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("pages", "times", "members")), asc=False).alias("classes"))
 
 
-def nested(classes: list[dict]) -> frozenset[int]:
-    """Tokens of the classes that nest: a class that crosses a larger one is no part of the template."""
-    spans, tokens = [], set()
-    for c in classes:  # of the most pages first
+def numbered(classes: list[dict]) -> dict[int, int]:
+    """Class numbers of the tokens of the classes that nest: a class that crosses a larger one is no part of the template."""
+    spans, tokens = [], {}
+    for number, c in enumerate(classes):  # of the most pages first
         places = [m["place"] for m in c["members"]]
         low, high = places[0], places[-1]
         if all(h <= low or high <= l or (l <= low and high <= h) or (low <= l and h <= high) for l, h in spans):
             spans.append((low, high))
-            tokens.update(m["token"] for m in c["members"])
-    return frozenset(tokens)
+            tokens.update((m["token"], number) for m in c["members"])
+    return tokens
+
+
+def nested(classes: list[dict]) -> frozenset[int]:
+    """Tokens of the template."""
+    return frozenset(numbered(classes))
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -184,14 +213,14 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     known = written(templates(hosted.select("page_id", "host", "html")), "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[str, frozenset[int]] = {}
+        made: dict[str, dict[int, int]] = {}
         for b in batches:
             texts = []
             for source, host, classes in zip(*(b.column(k).to_pylist() for k in range(2, 5)), strict=True):
                 if host not in made:
                     if len(made) > 10_000:
                         made.clear()
-                    made[host] = nested(classes or [])
+                    made[host] = numbered(classes or [])
                 texts.append(Page(source or "").main_text(made[host]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

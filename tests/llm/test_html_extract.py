@@ -47,6 +47,27 @@ def test_what_articles_share_stays(spark):
     assert found == {k: f"Shared passage. {k}" for k in range(5)}
 
 
+def test_text_outside_a_teaser_article_stays():
+    assert hx.Page("<body><div><p>Main text.</p></div><article class='card'><p>Teaser.</p></article></body>").main_text() == "Main text. Teaser."
+
+
+def test_template_decides_on_pages_with_an_article(spark):
+    """Unlabelled site text goes, outside and inside the article; a block that holds a slot stays whole."""
+
+    def page(k):
+        return f"<body><div><b>Our site</b></div><section><p>Lead {k}</p></section><article><h1>Story {k}</h1><div>Sign in to read on</div><h6>Posted by <i>Ann {k}</i></h6><p>Shared.</p><p>Text {k}</p></article><div><i>All rights</i></div></body>"
+
+    rows = [(k, "http://h.example/", page(k), None, None) for k in range(6)]
+    found = {r.page_id: r.text for r in hx.extract_main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {k: f"Lead {k} Story {k} Posted by Ann {k} Shared. Text {k}" for k in range(6)}
+
+
+def test_copies_make_no_template(spark):
+    pages = {"a": "<article><h1>Head</h1><p>One</p><p>Two</p></article><div class='ad'>%d</div>", "b": "<div><h1>Head</h1><p>One</p><p>Two</p></div>"}
+    rows = [(k, f"http://{h}.example/", p % k if "%" in p else p, None, None) for h, p in pages.items() for k in range(5)]
+    assert {r.text for r in hx.extract_main_text(spark.createDataFrame(rows, SCHEMA)).collect()} == {"Head One Two"}
+
+
 def test_odd_rows(spark, store):
     rows = [(1, None, None, None, None), (2, "", "", None, None), (3, "nonsense", "plain", "h", 1), (3, "nonsense", "plain", "h", 1), (4, "http://x", "<", None, None), (None, "http://x", "<p>a</p>" * 3000, None, None), (5, "http://x", "<article>" * 3 + "é</p>", None, None), (6, "http://x", "<script>never closed", None, None)]
     found = sorted((str(r.page_id), r.text, r.n_chars) for r in op8_html_extraction(spark, store(pages=(rows, SCHEMA))).collect())
