@@ -8,7 +8,8 @@ tokens on at least ``MIN_SHARE`` of the host's pages (and ``MIN_PAGES`` pages) t
 template.  What stands between template tokens are slots; a text that belongs to a class is template, not content.
 
 The main text is that of all slots of the body, but for those inside menus, page headers, footers, sidebars, notices, adverts,
-forms and reader comments, which their tags, roles or class words name.  An ``article`` or ``main`` element is a hint: text outside
+forms and reader comments, which their tags, roles or whole class names name.  No such name sets aside html, body, main or a
+page's first article; an element that holds a page's only article stays too if that article is longer than all else that stays.  An ``article`` or ``main`` element is a hint: text outside
 it is judged as on any page, and inside it a text counts as template only if it is of one class with the start tags of its own
 element and of the article, and only with its whole block, so a passage that many articles share stays.  A host of
 fewer than ``MIN_PAGES`` different texts has no template, and a page that its template would leave without text keeps all that isn't
@@ -25,6 +26,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
+from functools import lru_cache
 from types import MappingProxyType
 
 import pyarrow as pa
@@ -43,11 +45,14 @@ BLOCK_TAGS = frozenset("address article aside blockquote body br center dd detai
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class, id and role attributes that name what isn't main text.
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus replies share sharing social related newsletter subscribe subscription popup modal login signup search toolbar contentinfo complementary".split())
+#: What may stand before and after such words in a name, as in site-footer and comment-list.
+BEFORE = frozenset("site main primary secondary top bottom global".split())
+AFTER = frozenset("area list section box block bar links item form slot unit widget".split())
 #: Elements that close an open one of the same kind.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = BLOCK_TAGS - {"br", "body", "html", "head", "title", "option"}
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(script|style|noscript|template|textarea|iframe|svg)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+NAMES = re.compile(r"(?<![\w\-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
 def _hash(*parts) -> int:
@@ -55,12 +60,28 @@ def _hash(*parts) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
+@lru_cache(100_000)
+def names_aside(name: str) -> bool:
+    """The whole name says that it isn't main text; has-sidebar, comment-open and notice-12 don't."""
+    words = [w for w in re.split(r"[_\-]+", name) if w]
+    while len(words) > 1 and words[0] in BEFORE:
+        del words[0]
+    while len(words) > 1 and words[-1] in AFTER:
+        del words[-1]
+    return bool(words) and ASIDE_WORDS.issuperset(words)
+
+
 class Page:
-    """``items``: (token, text or None, ends a block, set aside, article, element) in page order; the last two are start tags' tokens, 0 for none."""
+    """``items``: (token, text or None, ends a block, set aside, article, element) in page order; the last two are start tags' tokens, 0 for none.
+
+    What is set aside has the numbers of the elements that do so by name, and 0 where a tag does.
+    """
 
     def __init__(self, source: str):
-        self.items: list[tuple[int, str | None, bool, bool, int, int]] = []
-        self.stack: list[tuple[str, int, bool, int]] = []  # name, path, set aside, article
+        self.items: list[tuple[int, str | None, bool, tuple[int, ...], int, int]] = []
+        self.stack: list[tuple[str, int, tuple[int, ...], int]] = []  # name, path, set aside, article
+        self.has_article = False
+        self.chars: dict[tuple[tuple[int, ...], bool], int] = defaultdict(int)  # by set aside, inside an article
         at = 0
         for m in TOKEN.finditer(source):
             if m.start() > at:
@@ -70,12 +91,23 @@ class Page:
                 (self._end if m[2] else self._start)(m[3].lower(), m[4])
         if at < len(source):
             self._text(source[at:])
+        self._lift()
+
+    def _lift(self) -> None:
+        """An element that holds the page's only article isn't set aside by its name."""
+        held = {aside: n for (aside, article), n in self.chars.items() if article and aside and 0 not in aside}
+        if held and ((), True) not in self.chars:
+            most = max(held, key=held.get)
+            if held[most] > self.chars[(), False]:
+                self.items = [(*i[:3], tuple(k for k in i[3] if k not in most), *i[4:]) for i in self.items]
 
-    def _top(self) -> tuple[str, int, bool, int]:
-        return self.stack[-1] if self.stack else ("", 0, False, 0)
+    def _top(self) -> tuple[str, int, tuple[int, ...], int]:
+        return self.stack[-1] if self.stack else ("", 0, (), 0)
 
     def _text(self, raw: str) -> None:
         _, path, aside, article = self._top()
+        if not raw.isspace():
+            self.chars[aside, article != 0] += len(raw)
         self.items.append((0 if raw.isspace() else _hash(path, "text", " ".join(raw.split())), raw, False, aside, article, path))
 
     def _start(self, name: str, attributes: str) -> None:
@@ -89,11 +121,17 @@ class Page:
                 if own in BLOCK_TAGS and own != "p" and not (own in ("td", "th") and name == "tr"):
                     break
         _, path, aside, article = self._top()
-        words = sorted({w for m in NAMES.finditer(attributes) for w in re.split(r"[\s_\-]+", (m[1] or m[2] or m[3] or "").lower()) if w}) if attributes else []
-        is_article = name in ("article", "main") or "main" in words and "role" in attributes
-        aside = aside or name in ASIDE_TAGS or not ASIDE_WORDS.isdisjoint(words) or name == "header" and not article
+        names = [(m[1].lower(), n) for m in NAMES.finditer(attributes) for n in (m[2] or m[3] or m[4] or "").lower().split()] if attributes else []
+        words = sorted({w for a, n in names for w in re.split(r"[_\-]+", n) if w and not (a == "id" and any(map(str.isdigit, w)))}) if names else []
+        is_main = name == "main" or ("role", "main") in names
+        is_article = is_main or name == "article"
+        if name in ASIDE_TAGS or name == "header" and not article:
+            aside = (*aside, 0)
+        elif not (is_main or name in ("html", "body") or name == "article" and not self.has_article) and any(names_aside(n) for _, n in names):
+            aside = (*aside, len(self.items) + 1)
+        self.has_article = self.has_article or is_article and not aside
         path = _hash(path, name, *words)
-        article = article or (path if is_article and not aside else 0)
+        article = article or (path if is_article else 0)
         self.items.append((path, None, name in BLOCK_TAGS, aside, article, path))
         if name not in VOID_TAGS and not attributes.endswith("/"):
             self.stack.append((name, path, aside, article))

@@ -68,6 +68,17 @@ def test_copies_make_no_template(spark):
     assert {r.text for r in hx.extract_main_text(spark.createDataFrame(rows, SCHEMA)).collect()} == {"Head One Two"}
 
 
+def test_names_set_no_whole_page_aside():
+    for source in ("<body class='has-sidebar'><p>Text.</p>", "<body class='no-sidebar'><p>Text.</p>", "<html class='menu'><body class='sidebar'><p>Text.</p>", "<main class='content with-sidebar'>Text.</main>", "<main class='content comments'>Text.</main>", "<article class='post comment-open'>Text.</article>", "<article id='notice-12'>Text.</article>", "<article class='notice'>Text.</article>", "<div class='has-sidebar'><p>Text.</p></div>", "<div class='sidebar'><div id='menu'><article>Text.</article></div></div>", "<div role='main' class='menu'>Text.</div>"):
+        assert hx.Page(source).main_text() == "Text.", source
+
+
+def test_named_parts_stay_aside():
+    for part in ("<div class='sidebar'><article>Card</article></div>", "<div id='comments'><article class='comment'>First!</article></div>", "<article class='comment'>First!</article>", "<div class='site-footer'>c</div>", "<ul class='comment-list'><li>First!</ul>", "<div role='navigation' class='main-nav'>m</div>", "<div id='cookie_notice'>c</div>"):
+        assert hx.Page(f"<article>Text.</article>{part}").main_text() == "Text.", part
+    assert hx.Page("<p>Long main text.</p><div id='comments'><article class='comment'>First!</article></div>").main_text() == "Long main text."
+
+
 def test_odd_rows(spark, store):
     rows = [(1, None, None, None, None), (2, "", "", None, None), (3, "nonsense", "plain", "h", 1), (3, "nonsense", "plain", "h", 1), (4, "http://x", "<", None, None), (None, "http://x", "<p>a</p>" * 3000, None, None), (5, "http://x", "<article>" * 3 + "é</p>", None, None), (6, "http://x", "<script>never closed", None, None)]
     found = sorted((str(r.page_id), r.text, r.n_chars) for r in op8_html_extraction(spark, store(pages=(rows, SCHEMA))).collect())
