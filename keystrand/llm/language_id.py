@@ -8,8 +8,8 @@ leave.  After fitting, the statistics are frozen: code lengths are compiled to t
 lengths are exact integer sums and depend on nothing but the text.  The language of the shortest code wins, ties going to
 the smaller name.
 
-The trees are fitted on a sample of labelled documents of about ``TRAIN_BYTES`` for each language, picked by a hash of the
-id over the whole table.  Documents of null text or null label are never learned from.
+The trees are fitted on a sample of labelled documents for each language: those of the lowest hash of the id over the whole
+table until ``TRAIN_BYTES`` are reached, all if there are fewer, so every labelled language is learned.  Documents of null text or null label are never learned from.
 
 A null text, or one without a letter, is ``und`` with score 0, and so is every text if nothing was learned.  The score is
 the posterior of the winner under equal priors when the evidence of long texts is scaled to ``SCORE_BYTES`` bytes.
@@ -18,7 +18,8 @@ Rows with a null id are predicted but not learned from.  Repeated rows, extra co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from keystrand.llm.common import held, slices
 ORDER = 3
 TRAIN_BYTES = 2_000_000
 SCORE_BYTES = 64
+#: The hash that picks the sample has so many parts, and each of them as many again.
+DRAWS = 1000
 #: Rows, and code points, that are coded at a time.
 ROWS, SLICE = 1000, 1_000_000
 #: Code length units of one bit.
@@ -79,14 +82,36 @@ def count_grams(sample: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _any(conditions: Iterable[Column]) -> Column:
+    return reduce(Column.__or__, conditions, F.lit(False))
+
+
+def _reached(rows: DataFrame, part: Column, before: dict[str, int], train_bytes: int) -> dict[str, tuple[int | None, int]]:
+    """{language: (the part of the hash in which its bytes reach ``train_bytes``, the bytes before it)}; None where they don't."""
+    found: dict[str, dict[int, int]] = {}
+    for r in rows.groupBy("lang", part.alias("part")).agg(F.sum(F.octet_length("text")).alias("b")).collect():
+        found.setdefault(r["lang"], {})[r["part"]] = r["b"]
+    out: dict[str, tuple[int | None, int]] = {}
+    for lang, parts in found.items():
+        total = before.get(lang, 0)
+        out[lang] = (None, total)
+        for k in sorted(parts):
+            if total + parts[k] >= train_bytes:
+                out[lang] = (k, total)
+                break
+            total += parts[k]
+    return out
+
+
 def fit(docs: DataFrame, learn: Column, train_bytes: int = TRAIN_BYTES) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """{language: (grams, counts)} from the rows where ``learn`` holds; no more entries than the sample has bytes."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["b"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
-    share = F.lit(False)
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    for lang, size in sorted(sizes.items()):
-        share = share | ((F.col("lang") == lang) & (draw < max(1, round(1_000_000 * min(1.0, train_bytes / max(1, size))))))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(DRAWS * DRAWS))
+    coarse = _reached(rows, F.floor(draw / DRAWS), {}, train_bytes)
+    edges = {lang: first for lang, (first, _) in coarse.items() if first is not None}
+    at_edge = _any((F.col("lang") == lang) & (F.floor(draw / DRAWS) == first) for lang, first in edges.items())
+    fine = _reached(rows.where(at_edge), draw % DRAWS, {lang: coarse[lang][1] for lang in edges}, train_bytes) if edges else {}
+    share = _any((F.col("lang") == lang) & (F.lit(True) if first is None else draw <= first * DRAWS + fine[lang][0]) for lang, (first, _) in sorted(coarse.items()))
     found: dict[str, tuple[list[int], list[int]]] = {}
     for r in count_grams(rows.where(share)).toLocalIterator():
         grams, n = found.setdefault(r["lang"], ([], []))

@@ -69,6 +69,23 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang_pred == labels[r.doc_id][0] for r in held) / len(held) > 0.97
 
 
+def test_every_labelled_language_is_learned(spark):
+    """The documents of lowest hash until the bytes are reached, at least one, even if each is far longer than that."""
+    rows = [(100 * g + k, f"l{g}", "abc " * 500) for g in range(12) for k in range(3)]
+    rows += [(5000 + k, "many", "abcdefgh" * (5000 if k == 7 else 2)) for k in range(200)] + [(9000, "empty", ""), (9001, "few", "xyz")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = li.fit(docs, li.F.lit(True), 400)
+    assert set(model) == {*(f"l{g}" for g in range(12)), "many", "few"}
+    assert all(model[f"l{g}"][1].sum() == 2000 for g in range(12)) and model["few"][1].sum() == 3
+    draws = {r.doc_id: r.d for r in docs.select("doc_id", li.F.expr("pmod(xxhash64(doc_id), 1000000)").alias("d")).collect()}
+    total = 0
+    for i, _, text in sorted((r for r in rows if r[1] == "many"), key=lambda r: draws[r[0]]):
+        total += len(text)
+        if total >= 400:
+            break
+    assert model["many"][1].sum() == total
+
+
 def test_odd_rows(spark, store, odd_documents):
     rows, schema = odd_documents
     extra = [(100 + i, t, lang, "s", 1, "x", 7, "p", "w") for i, (t, lang) in enumerate([("123 ...", "en"), ("le chat était là", "fr"), ("der Hund und die Katze", "de")] * 4)]
