@@ -5,9 +5,10 @@ for two bases.  The difference of two entries, times a power of B's inverse, is
 stands, so spans compare in constant time and the longest common extension of two positions is a binary search.
 
 A fingerprint is 16 hex digits of length-aware whole-text hash, then the smallest distinct 32-bit mixes of the hashes of
-all windows of ``WINDOW`` code points (the whole text where it is shorter), ascending, 8 hex digits each.  The likeness
-of two fingerprints is the share of the smallest values of their union that both hold, an estimate of the windows'
-Jaccard similarity: 1 for equal texts, 1 for two empty ones.
+all windows of ``WINDOW`` code points (the whole text where it is shorter), ascending, 8 hex digits each: ``KEPT`` of them, or
+one for each ``EACH`` code points if that is more.  The likeness of two fingerprints is 1 if their whole-text hashes are equal.
+If not, it is the share of the values up to the point that both sketches reach that both hold, an estimate of the windows'
+Jaccard similarity J with a standard error of sqrt(J * (1 - J) / m) for m values, and at most m / (m + 1).
 
 Null text counts as empty.  Ties of a doc_id are ordered by text; a null doc_id comes last in descending order.  An
 empty table gives no rows; other columns are ignored.
@@ -30,6 +31,7 @@ PRIME = np.uint64(2**31 - 1)
 BASES = (916_191_201, 1_368_015_347)
 WINDOW = 16
 KEPT = 64
+EACH = 64
 #: Multiplier that mixes a window's hash before the smallest are taken.
 MIX = np.uint64(0x9E3779B97F4A7C15)
 NO_ID = -(2**63)
@@ -110,8 +112,9 @@ def spliced(a: PrefixHash, h: int, b: PrefixHash, m: int, wa: np.ndarray, wb: np
     return whole, [wa[: max(0, h - width + 1)], *cross, wb[: max(0, m - width + 1)]]
 
 
-def sketch(windows: list[np.ndarray], whole: tuple[int, int, int], kept: int = KEPT) -> np.ndarray:
+def sketch(windows: list[np.ndarray], whole: tuple[int, int, int]) -> np.ndarray:
     """The smallest distinct window values, ascending; of a text shorter than a window, its whole hash."""
+    kept = max(KEPT, whole[0] // EACH)
     values = np.concatenate(windows) if len(windows) > 1 else windows[0]
     if not len(values):
         return mixed(np.array([whole[1]], dtype=np.uint64), np.array([whole[2]], dtype=np.uint64)) if whole[0] else values.astype(np.uint32)
@@ -122,21 +125,30 @@ def sketch(windows: list[np.ndarray], whole: tuple[int, int, int], kept: int = K
     return np.unique(values)[:kept]
 
 
+def head(whole: tuple[int, int, int]) -> str:
+    return f"{((whole[1] << 31 | whole[2]) * 0x9E3779B97F4A7C15 + whole[0]) & (2**64 - 1):016x}"
+
+
 def printed(whole: tuple[int, int, int], values: np.ndarray) -> str:
-    head = ((whole[1] << 31 | whole[2]) * 0x9E3779B97F4A7C15 + whole[0]) & (2**64 - 1)
-    return f"{head:016x}" + values.astype(">u4").tobytes().hex()
+    return head(whole) + values.astype(">u4").tobytes().hex()
 
 
-def likeness(a: np.ndarray, b: np.ndarray, kept: int = KEPT) -> float:
-    if not len(a) and not len(b):
+def likeness(a: np.ndarray, b: np.ndarray, equal: bool) -> float:
+    """``equal``: whether the whole texts are.  A sketch of fewer than ``KEPT`` values has all of its text's."""
+    if equal:
         return 1.0
-    union = np.union1d(a, b)[:kept]
-    return float(np.isin(union, np.intersect1d(a, b)).mean())
+    union = np.union1d(a, b)
+    reach = [x[-1] for x in (a, b) if len(x) >= KEPT]
+    if reach:
+        union = union[: np.searchsorted(union, min(reach), side="right")]
+    if not len(union):
+        return 0.0
+    return float(min(np.isin(union, np.intersect1d(a, b)).mean(), len(union) / (len(union) + 1)))
 
 
 def fingerprint_likeness(a: str, b: str) -> float:
     """Likeness from two printed fingerprints."""
-    return likeness(*(np.frombuffer(bytes.fromhex(x[16:]), dtype=">u4").astype(np.uint32) for x in (a, b)))
+    return likeness(*(np.frombuffer(bytes.fromhex(x[16:]), dtype=">u4").astype(np.uint32) for x in (a, b)), a[:16] == b[:16])
 
 
 def _heads(docs: DataFrame, bounds: list[int]) -> dict[int, int]:
@@ -219,4 +231,4 @@ def _edited(this: tuple, following: tuple) -> tuple:
     whole, parts = spliced(own, h, next_own, m, windows, next_windows)
     edited_values = sketch(parts, whole)
     edited = hashlib.sha256((text[:h] + next_text[:m]).encode("utf-8", "surrogatepass")).hexdigest()
-    return (None if doc_id == NO_ID else doc_id, own.n, edited, printed(own.whole(), values), printed(whole, edited_values), likeness(values, edited_values), likeness(values, next_values), own.extension(0, next_own, 0))
+    return (None if doc_id == NO_ID else doc_id, own.n, edited, printed(own.whole(), values), printed(whole, edited_values), likeness(values, edited_values, head(own.whole()) == head(whole)), likeness(values, next_values, head(own.whole()) == head(next_own.whole())), own.extension(0, next_own, 0))

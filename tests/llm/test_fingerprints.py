@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from keystrand.llm import fingerprints as fp
 from keystrand.llm.queries import op10_document_fingerprints
@@ -60,3 +61,24 @@ def test_spans_and_extensions():
     assert a.same(2, 8, b, 0) and not a.same(2, 9, b, 0)
     assert a.extension(2, b, 0) == 6 and a.extension(0, b, 0) == 0
     assert a.extension(5, b, 0) == 3
+
+
+def test_only_equal_texts_have_likeness_one(spark):
+    pick = random.Random(5)
+    text = "".join(pick.choice("abcdefgh ") for _ in range(100_000))
+    other = text[:50_000] + "#" + text[50_001:]
+    docs = spark.createDataFrame([(4, text), (3, text), (2, other), (1, "a" * 90), (0, "a" * 91)], "doc_id long, text string")
+    found = {r.doc_id: r for r in fp.fingerprint_edits(docs).collect()}
+    assert found[4].near_next == 1.0 and 0.99 < found[3].near_next < 1.0 and found[1].near_next < 1.0
+    assert len(found[4].fingerprint) == 16 + 8 * (100_000 // fp.EACH)
+
+
+def test_error_of_the_estimate():
+    pick, misses = random.Random(6), []
+    for _ in range(40):
+        a = "".join(pick.choice("abcdefgh ") for _ in range(20_000))
+        b = "".join("#" if pick.random() < 0.01 else c for c in a)
+        wa, wb = (set(fp.PrefixHash(x).windows().tolist()) for x in (a, b))
+        j = len(wa & wb) / len(wa | wb)
+        misses.append((fp.fingerprint_likeness(slow(a), slow(b)) - j) / (j * (1 - j) / (20_000 // fp.EACH)) ** 0.5)
+    assert sum(x * x for x in misses) / len(misses) < 4
