@@ -9,8 +9,9 @@ so such a block is scored.  The groups' best meet per query.
 Queries are rows of the same table that ``is_query`` names, so this is a search of a stated query set against all rows: groups are
 streamed, and a task holds one group and one batch of queries.
 
-Vectors that are null or hold null or non-finite components take no part, nor do rows without an id, nor components that
-leave the exact integers of a double (2**53).  Shorter vectors count as padded by zeros.  Rows that share the query's id are
+Vectors that are null or hold null or non-finite components take no part, nor do rows without an id.  Vectors with components
+of 2**53 or more are kept apart and scored in integers of any size, and ranked by them; only the score that is returned stops
+at the limits of 64 bits.  Shorter vectors count as padded by zeros.  Rows that share the query's id are
 its own and no candidates; a repeated query row is asked once.  Ties go to the smaller id.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,10 @@ BATCH = 256
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """Rows (vec_id, body): the integers as little-endian signed 64-bit, without trailing zeros' meaning."""
+    """Rows (vec_id, body): the integers as little-endian signed 64-bit, without trailing zeros' meaning.
+
+    A body with a component of 2**53 or more is a line of decimal numbers, of a length that is no multiple of 8.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -42,16 +47,41 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
             for i, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if i is None or not v.is_valid or v.values.null_count:
                     continue
-                x = np.floor(v.values.to_numpy(zero_copy_only=False).astype(np.float64) * scale)
-                if np.isfinite(x).all() and (np.abs(x) < 2.0**53).all():
-                    ids.append(i)
-                    bodies.append(x.astype("<i8").tobytes())
+                own = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                if not np.isfinite(own).all():
+                    continue
+                with np.errstate(over="ignore"):
+                    x = np.floor(own * scale)
+                ids.append(i)
+                bodies.append(x.astype("<i8").tobytes() if (np.abs(x) < 2.0**53).all() else large([math.floor(Fraction(c) * scale) for c in own.tolist()]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), as_binary(bodies)], names=["vec_id", "body"])
 
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).mapInArrow(run, "vec_id long, body binary")
 
 
+def large(numbers: list[int]) -> bytes:
+    line = " ".join(map(str, numbers)).encode()
+    return line + b" " * (1 + -len(line) % 8)
+
+
+def is_large(body: bytes) -> bool:
+    return len(body) % 8 != 0
+
+
+def order_key(score: int) -> bytes | None:
+    """Orders scores that the limits of 64 bits make equal."""
+    if -(2**63) < score < 2**63 - 1:
+        return None
+    n = (score.bit_length() + 7) // 8
+    key = n.to_bytes(4, "big") + abs(score).to_bytes(n, "big")
+    return key if score > 0 else bytes(255 - x for x in key)
+
+
 def matrix(bodies: list[bytes], width: int = 0) -> np.ndarray:
+    if any(map(is_large, bodies)):
+        rows = [list(map(int, b.split())) if is_large(b) else np.frombuffer(b, dtype="<i8").tolist() for b in bodies]
+        width = max([width, *map(len, rows)])
+        return np.array([r + [0] * (width - len(r)) for r in rows], dtype=object).reshape(len(rows), width)
     width = max([width, *(len(b) // 8 for b in bodies)])
     return np.frombuffer(b"".join(b.ljust(8 * width, b"\0") for b in bodies), dtype="<i8").reshape(len(bodies), width)
 
@@ -63,16 +93,17 @@ class Blocks:
         ids, self.values = ids[order], self.values[order]
         cuts = range(0, len(ids), size)
         self.largest = int(np.abs(self.values).max()) if self.values.size else 0
-        self.blocks = [(ids[c : c + size], self.values[c : c + size].astype(np.float64)) for c in cuts]
-        self.most = np.array([self.values[c : c + size].max(axis=0) for c in cuts], dtype=np.float64)
-        self.least = np.array([self.values[c : c + size].min(axis=0) for c in cuts], dtype=np.float64)
+        double = self.values.dtype != object  # a larger number may be beyond a double, and is never bounded
+        self.blocks = [(ids[c : c + size], self.values[c : c + size].astype(np.float64) if double else None) for c in cuts]
+        self.most = np.array([self.values[c : c + size].max(axis=0) for c in cuts], dtype=np.float64) if double else None
+        self.least = np.array([self.values[c : c + size].min(axis=0) for c in cuts], dtype=np.float64) if double else None
         self.size = size
 
     def best(self, query_ids: list[int], bodies: list[bytes], top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query's place, ids, scores) of each query's best rows here."""
         queries = matrix(bodies, self.values.shape[1])[:, : self.values.shape[1]]
-        exact = self.largest * int(np.abs(queries).max(initial=0)) * max(1, queries.shape[1]) < 2**53
-        wide = queries.astype(np.float64)
+        exact = self.most is not None and queries.dtype != object and self.largest * int(np.abs(queries).max(initial=0)) * max(1, queries.shape[1]) < 2**53
+        wide = queries.astype(np.float64) if exact else queries
         bounds = np.maximum(wide, 0) @ self.most.T + np.minimum(wide, 0) @ self.least.T if exact else np.full((len(queries), len(self.blocks)), np.inf)
         for k, own in enumerate(query_ids):
             ids, scores, floor = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64 if exact else object), None
@@ -110,14 +141,22 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, ids, bodies, asking, blocks = None, [], [], [], None
 
+        def parts() -> list[Blocks]:
+            """The large vectors apart, so that the others' products stay within a double."""
+            split = [[(i, x) for i, x in zip(ids, bodies, strict=True) if is_large(x) == big] for big in (False, True)]
+            return [Blocks([i for i, _ in p], [x for _, x in p]) for p in split if p]
+
         def answer() -> pa.RecordBatch:
-            q, v, s, t = [], [], [], []
-            for k, found, scores in blocks.best([a[0] for a in asking], [a[1] for a in asking], top):
-                q += [asking[k][0]] * len(found)
-                t += [asking[k][1]] * len(found)
-                v += found.tolist()
-                s += [max(-(2**63), min(2**63 - 1, int(x))) for x in scores]
-            return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), as_binary(t), pa.array(v, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "query", "vec_id", "score"])
+            q, v, s, t, o = [], [], [], [], []
+            for own in ([a for a in asking if is_large(a[1]) == big] for big in (False, True)):
+                for part in blocks if own else []:
+                    for k, found, scores in part.best([a[0] for a in own], [a[1] for a in own], top):
+                        q += [own[k][0]] * len(found)
+                        t += [own[k][1]] * len(found)
+                        v += found.tolist()
+                        s += [max(-(2**63), min(2**63 - 1, int(x))) for x in scores]
+                        o += [order_key(int(x)) for x in scores]
+            return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), as_binary(t), pa.array(v, pa.int64()), pa.array(s, pa.int64()), as_binary(o)], names=["query_id", "query", "vec_id", "score", "key"])
 
         for b in batches:
             for group, asks, i, body in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
@@ -130,7 +169,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
                     bodies.append(body)
                     continue
                 if blocks is None and ids:
-                    blocks, ids, bodies = Blocks(ids, bodies), [], []
+                    blocks, ids, bodies = parts(), [], []
                 if blocks:
                     asking.append((i, body))
                     if len(asking) == BATCH:
@@ -142,6 +181,6 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     queries = ready.where(is_query).distinct()
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("group"), F.lit(True).alias("asks"), "vec_id", "body")
     dealt = ready.mapInArrow(deal, "group int, asks boolean, vec_id long, body binary").unionByName(asked)
-    found = dealt.repartitionById(n_groups, F.col("group")).sortWithinPartitions("group", "asks", "vec_id").mapInArrow(run, "query_id long, query binary, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id"))
+    found = dealt.repartitionById(n_groups, F.col("group")).sortWithinPartitions("group", "asks", "vec_id").mapInArrow(run, "query_id long, query binary, vec_id long, score long, key binary")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), F.desc("key"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

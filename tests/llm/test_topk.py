@@ -51,3 +51,18 @@ def test_pruning_and_big_numbers():
         for k, ids, scores in blocks.best([i for i, _ in asked], [topk.np.array(v, dtype="<i8").tobytes() for _, v in asked], 10):
             best = sorted((-sum(x * y for x, y in zip(asked[k][1], v, strict=True)), i) for i, v in rows if i != asked[k][0])[:10]
             assert [(-s, i) for i, s in zip(ids.tolist(), map(int, scores), strict=True)] == best
+
+
+def test_large_components_take_part(spark):
+    pick = random.Random(8)
+    rows = [(i, [pick.choice([-1.0, 0.5, 2.0]) for _ in range(3)]) for i in range(0, 300, 5)]
+    rows += [(1, [1e13, 0.0, 1.0]), (2, [-1e13, 1.0]), (3, [3e38, -3e38, 1e20]), (4, [1e38, 0.0, 0.0]), (6, [2e38]), (7, [1e308, 1.5, -1e308]), (400, [9e12, 1.0, -1.0]), (500, [-1e30, 2.0, 1e300])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted(map(tuple, topk.top_k(docs, topk.F.col("vec_id") % 100 == 0).collect()))
+    exact = [(i, [math.floor(1024 * topk.Fraction(x)) for x in v]) for i, v in rows]
+    want = []
+    for q, a in exact:
+        if q % 100 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in exact if i != q)[:10]
+            want += [(q, k + 1, i, max(-(2**63), min(2**63 - 1, -s))) for k, (s, i) in enumerate(best)]
+    assert found == sorted(want) and {r[2] for r in found} >= {3, 4, 6, 7}
