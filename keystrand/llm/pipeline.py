@@ -14,7 +14,7 @@ from keystrand.llm.common import table, written
 from keystrand.llm.line_dedup import dedup_lines
 from keystrand.llm.packing import pack_documents
 from keystrand.llm.queries import vocabulary
-from keystrand.llm.simhash_dedup import near_duplicates
+from keystrand.llm.simhash_dedup import representatives
 from keystrand.llm.substring_dedup import dedup_substrings
 from keystrand.plans.shipping import ship
 
@@ -52,11 +52,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each group of near copies, once; documents without an id aren't judged."""
-    found = near_duplicates(docs)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    named = docs.join(first, F.col("doc_id") == F.col("__first"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """Keep of each group of near copies the row of the smallest id, then digest of the text, once; rows without an id aren't judged.
+
+    Rows that share an id are told apart by their texts.
+    """
+    digest = F.coalesce(F.md5("text"), F.lit(""))
+    first = representatives(docs.select("doc_id", "text", digest.alias("digest"))).select(F.col("doc_id").alias("__first"), F.col("digest").alias("__least"))
+    named = docs.withColumn("__digest", digest).join(first, (F.col("doc_id") == F.col("__first")) & (F.col("__digest") == F.col("__least")), "left_semi").dropDuplicates(["doc_id", "__digest"])
+    return named.drop("__digest").unionByName(docs.where("doc_id is null"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

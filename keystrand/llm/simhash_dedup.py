@@ -78,8 +78,8 @@ def text_fingerprints(texts: list[bytes], width: int = 3) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, fp), the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, *carry, fp), the fingerprint's 64 bits as a signed long; ``carry`` names columns of strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held(("fingerprints",), dict)  # lets go of what another operator kept in this worker
@@ -87,9 +87,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
             found = [text_fingerprints(texts[i:j]) for i, j in slices(texts, 1_000_000)]
             fp = np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(fp.view(np.int64))], names=["doc_id", *carry, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *carry).mapInArrow(run, "".join(["doc_id long, ", *(f"{c} string, " for c in carry), "fp long"]))
 
 
 def spanning_links(values: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
@@ -181,3 +181,12 @@ def near_duplicates(docs: DataFrame, tile: int = TILE) -> DataFrame:
     least = rooted.where("root is not null").groupBy("root").agg(F.min("first").alias("least"))
     named = rooted.join(least, "root", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, tile: int = TILE) -> DataFrame:
+    """Rows (doc_id, digest): of each component, the least of its rows that have an id; ``docs`` has a digest of the text."""
+    marked = written(fingerprints(docs, ("digest",)), "fingerprints")
+    first = marked.where("doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    roots = components(near_links(marked.select("fp").distinct(), tile))
+    rooted = first.join(roots, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    return rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")

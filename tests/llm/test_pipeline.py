@@ -76,3 +76,12 @@ def test_odd_rows_and_empty_table(spark, odd_documents):
         out = steps(spark, spark.createDataFrame(some, schema), "")
         assert all(df.columns == out[0].columns for df in out[:-1])
         assert (out[-1].count() > 0) == bool(some)
+
+
+def test_rows_that_share_an_id(spark):
+    """Each group of near copies keeps one row, whatever else has its id; different texts of an id all stay."""
+    a, b, c = (" ".join(f"{w}{k}" for k in range(60)) for w in "abc")
+    rows = [(1, a, "s"), (2, a, "s"), (2, b, "s"), (2, c, "s"), (2, c, "s"), (3, b, "s"), (None, a, "s"), (None, a, "s")]
+    found = pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, digest string"), "")
+    assert found.columns == ["doc_id", "text", "digest"]
+    assert sorted(((r.doc_id or 0, r.text) for r in found.collect())) == sorted([(0, a), (0, a), (1, a), (2, b), (2, c)])
