@@ -6,15 +6,16 @@ Jaccard similarity of at least ``SIMILARITY`` with it; lines are judged on the i
 1. Rarity: the corpus' words are counted in ``RARITY`` hash counters (a bounded table whatever the corpus), each reduced to a
    step of a logarithmic scale.  A word's rank is its step, then 56 bits of its hash; ranks in ascending order are the line's
    words from the rarest.  The order is the same in every line, which is all that prefix filtering needs.
-2. Lines of equal ranks are equal sets (but for a 56-bit collision between two words in otherwise equal lines); only the
-   first of each is compared with others, later ones are removed.
+2. Lines of equal ranks are equal sets (but for a 56-bit collision between two words in otherwise equal lines).  The first of
+   each set is found by a partial aggregation over digests; only it is compared with others, later ones are removed.
 3. Each such line posts its rarest words, n - ceil(s * n) + 1 of n.  Lines that share a posted word are partners if their
-   lengths, the places of the word in both and 128-bit maps of their words allow the similarity.  A map has the parity of
-   the words in each of 128 classes, so maps differ in no more bits than the sets in words, and long lines don't fill them.
-4. A line that resembles the first line under one of its four rarest words, or one of the last three before it there, is settled
-   by that one alone, so a group of near copies costs some pairs a line.  The rest are joined with all earlier partners; a pair
+   lengths, the places of the word in both and maps of their words allow the similarity.  A map has the parity of the words in
+   each of 64 classes, 128 for long lines, so maps differ in no more bits than the sets in words, and long lines don't fill them.
+4. A line that resembles the first line under one of its six rarest words, or one of the last two before it there, is
+   settled by that one alone, so a group of near copies costs some pairs a line.  The rest are joined with all earlier partners; a pair
    that shares one of the two words posted just before is left to that word, so few pairs meet under every word they share.
-5. Candidate pairs fetch their words again and are verified by the sizes of intersection and union.
+5. The lines of candidate pairs fetch their words again, once for all their pairs, and pairs are verified by the sizes of
+   intersection and union.
 
 Null text has no lines; a line without words is never removed; a null doc_id comes first; rows that share a doc_id are told
 apart by a digest of their text, and those that also share the text are one document.  An empty table gives no rows.
@@ -29,20 +30,27 @@ from keystrand.llm.common import written
 
 SIMILARITY = 0.8
 #: Hash counters for words; steps of rarity a power of two has.
-RARITY = 1 << 18
+RARITY = 1 << 17
 STEPS = 3
+#: Words above which a line has a map of 128 classes.
+LONG = 100
 #: The rarest words under which a line is held against the first line and the last few before it, before all others.
-LEADERS, BEFORE = 4, 3
-#: Rows of line names that may be broadcast, some tens of bytes each; more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+LEADERS, BEFORE = 6, 2
+#: Bytes of a table that may be broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 16_000_000
+BLANKS = "\t\n\x0b\x0c\r"
+
+
+def spaced(text: Column, blanks: str = BLANKS) -> Column:
+    """The text with a space for each other ASCII white space; a plain replacement and split are faster than a pattern."""
+    for c in blanks:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
 
 
 def words_of(text: str | Column) -> Column:
-    """Words between the six ASCII white spaces; a plain split is several times faster than one by a pattern."""
-    t = F.col(text) if isinstance(text, str) else text
-    for c in "\t\n\x0b\x0c\r":
-        t = F.replace(t, F.lit(c), F.lit(" "))
-    return F.array_remove(F.split(t, " "), "")
+    """Words between the six ASCII white spaces."""
+    return F.array_remove(F.split(spaced(F.col(text) if isinstance(text, str) else text), " "), "")
 
 
 def counter_of(word: Column) -> Column:
@@ -51,7 +59,7 @@ def counter_of(word: Column) -> Column:
 
 def rarity_steps(docs: DataFrame) -> Column:
     """The counters' steps as a constant array of ``RARITY`` small numbers."""
-    counts = docs.select(F.explode(words_of("text")).alias("w")).groupBy(counter_of(F.col("w")).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    counts = docs.select(F.explode(F.split(spaced(F.col("text")), " ")).alias("w")).groupBy(counter_of(F.col("w")).alias("c")).agg(F.count(F.lit(1)).alias("n"))
     steps = [0] * RARITY
     for c, n in counts.select("c", F.least(F.lit(120), F.floor(STEPS * F.log2("n"))).cast("int")).toLocalIterator():
         steps[c] = n
@@ -85,33 +93,38 @@ def lines_of(docs: DataFrame, names: Names) -> DataFrame:
 
 
 def ranked_lines(docs: DataFrame, names: Names) -> DataFrame:
-    """Rows (line, again, n, map, map2, prefix): again says that an earlier line has the same words; then the rest is null."""
-    steps = rarity_steps(docs)
+    """Rows (line, n, map, map2, prefix, d1, d2): a line's number of words, map, rarest words and digest of its set."""
+    steps, one, last = rarity_steps(docs), F.lit(1).cast("long"), F.lit(63).cast("long")
 
     def rank(w: Column) -> Column:
         step = F.coalesce(F.get(steps, counter_of(w)), F.lit(0)).cast("long")  # never null, so arrays of ranks sort as plain longs
         return F.call_function("shiftleft", step, F.lit(56)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
 
-    lines = lines_of(docs, names).select("line", F.sort_array(F.array_distinct(F.transform(words_of("t"), rank))).alias("ranks")).where(F.size("ranks") > 0)
+    # A condition on the ranks themselves would be pushed below them and make them twice.
+    worded = lines_of(docs, names).where(F.length(F.trim("t", F.lit(" " + BLANKS))) > 0)
+    lines = worded.select("line", F.sort_array(F.array_distinct(F.transform(words_of("t"), rank))).alias("ranks"))
     n = F.size("ranks")
 
-    def parity(half: int) -> Column:
-        def bit(r: Column) -> Column:
-            own = F.shiftright(r, 6).bitwiseAND(F.lit(1).cast("long"))
-            return F.call_function("shiftleft", own if half else F.lit(1).cast("long") - own, r.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-
-        return F.aggregate("ranks", F.lit(0).cast("long"), lambda a, r: a.bitwiseXOR(bit(r)))
+    def parity(bit) -> Column:
+        return F.aggregate("ranks", F.lit(0).cast("long"), lambda a, r: a.bitwiseXOR(F.call_function("shiftleft", bit(r), r.bitwiseAND(last).cast("int"))))
 
+    half = lambda r: F.shiftright(r, 6).bitwiseAND(one)
+    first = F.when(n <= LONG, parity(lambda r: one)).otherwise(parity(lambda r: one - half(r)))
+    second = F.when(n <= LONG, F.lit(0).cast("long")).otherwise(parity(half))
     prefix = F.slice("ranks", F.lit(1), (n - F.ceil(n * SIMILARITY - 1e-9) + 1).cast("int"))
-    some = lines.select("line", n.alias("n"), parity(0).alias("map"), parity(1).alias("map2"), prefix.alias("prefix"), F.xxhash64("ranks").alias("d1"), F.xxhash64(F.reverse("ranks")).alias("d2"))
-    again = F.row_number().over(Window.partitionBy("d1", "d2").orderBy("line")) > 1
-    return some.withColumn("again", again).select("line", "again", *[F.when(~F.col("again"), F.col(c)).alias(c) for c in ("n", "map", "map2", "prefix")])
+    return lines.select("line", n.alias("n"), first.alias("map"), second.alias("map2"), prefix.alias("prefix"), F.xxhash64("ranks").alias("d1"), F.xxhash64(F.reverse("ranks")).alias("d2"))
+
+
+def later_copies(ranked: DataFrame) -> DataFrame:
+    """Rows (line): lines whose set of words an earlier line has."""
+    held = ranked.groupBy("d1", "d2").agg(F.min("line").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    return ranked.select("line", "d1", "d2").join(small(written(held, "line-sets")), ["d1", "d2"]).where(F.col("line") > F.col("first")).select("line")
 
 
-def postings(firsts: DataFrame, prefix: Column) -> DataFrame:
-    """Rows (key, line, meta, map, map2): meta has the line's size, the word's place, and in the lowest bit if the line is settled."""
-    exploded = firsts.select("line", "n", "map", "map2", F.posexplode(prefix).alias("at", "key"))
-    return exploded.select("key", "line", (F.col("n").cast("long") * 2**31 + F.col("at") * 2).alias("meta"), "map", "map2")
+def postings(firsts: DataFrame) -> DataFrame:
+    """Rows (key, line, meta, map) of a line's ``LEADERS`` rarest words; meta has the line's size and the word's place, map 64 classes."""
+    exploded = firsts.select("line", "n", F.col("map").bitwiseXOR(F.col("map2")).alias("map"), F.posexplode(F.slice("prefix", 1, LEADERS)).alias("at", "key"))
+    return exploded.select("key", "line", (F.col("n").cast("long") * 2**31 + F.col("at") * 2).alias("meta"), "map")
 
 
 def with_words_before(firsts: DataFrame, settled: Column) -> DataFrame:
@@ -130,8 +143,8 @@ def met_before(a: str, b: str) -> Column:
     return met
 
 
-def may_match(a: str, b: str) -> Column:
-    """Length, positional and bitmap filters on two postings, whose columns start with ``a`` and ``b``."""
+def may_match(a: str, b: str, whole: bool = True) -> Column:
+    """Length, positional and bitmap filters on two postings, whose columns start with ``a`` and ``b``; by both maps if ``whole``."""
     meta_a, meta_b = F.col(a + "meta"), F.col(b + "meta")
     na, nb = (F.shiftright(m, 31) for m in (meta_a, meta_b))
     at, bt = (F.shiftright(m.bitwiseAND(F.lit(2**31 - 1)), 1) for m in (meta_a, meta_b))
@@ -139,7 +152,12 @@ def may_match(a: str, b: str) -> Column:
     lengths = F.least(na, nb) >= F.greatest(na, nb) * SIMILARITY - 1e-9
     # Similar lines have a first word in common, before which they share none: what follows it must hold the overlap.
     places = F.least(na - at, nb - bt) >= least
-    differ = F.bit_count(F.col(a + "map").bitwiseXOR(F.col(b + "map"))) + F.bit_count(F.col(a + "map2").bitwiseXOR(F.col(b + "map2")))
+    # The halves of a long line's map, added by XOR, are its map of 64 classes.
+    if whole:
+        one, two = (F.col(a + m).bitwiseXOR(F.col(b + m)) for m in ("map", "map2"))
+        differ = F.when(F.least(na, nb) > LONG, F.bit_count(one) + F.bit_count(two)).otherwise(F.bit_count(one.bitwiseXOR(two)))
+    else:
+        differ = F.bit_count(F.col(a + "map").bitwiseXOR(F.col(b + "map")))
     return lengths & places & (differ <= na + nb - 2 * least)
 
 
@@ -147,51 +165,62 @@ def least_overlap(na: Column, nb: Column) -> Column:
     return F.ceil((na + nb) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9)
 
 
-def small(rows: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if it has no more than ``BROADCAST_ROWS`` rows."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+def small(rows: DataFrame, each: Column | None = None) -> DataFrame:
+    """A written table, to be broadcast if its rows, ``each`` of so many bytes, have no more than ``BROADCAST_BYTES``."""
+    size = rows.agg(F.sum(F.lit(16 * len(rows.columns)) if each is None else each)).first()[0] or 0
+    return F.broadcast(rows) if size <= BROADCAST_BYTES else rows
 
 
-def verified(pairs: DataFrame, docs: DataFrame, names: Names) -> DataFrame:
-    """Rows (line): those whose earlier partner in a pair (earlier, later) is similar enough, by the 64-bit hashes of their words."""
-    pairs = written(pairs, "line-pairs")
-    wanted = small(written(pairs.select(F.explode(F.array("earlier", "later")).alias("line")).distinct(), "lines-wanted"))
-    held = lines_of(docs, names).join(wanted, "line", "left_semi").select("line", F.array_distinct(F.transform(words_of("t"), lambda w: F.xxhash64(w))).alias("w"))
-    a, b = held.select(F.col("line").alias("earlier"), F.col("w").alias("wa")), held.select(F.col("line").alias("later"), F.col("w").alias("wb"))
+def words_of_lines(pairs: DataFrame, docs: DataFrame, names: Names) -> DataFrame:
+    """Rows (line, w): the 64-bit hashes of the different words of the lines in pairs (earlier, later)."""
+    doc, place = names.parts("line")
+    wanted = pairs.select(F.explode(F.array("earlier", "later")).alias("line")).distinct().select(doc.alias("doc"), place.alias("place"))
+    wanted = small(written(wanted.groupBy("doc").agg(F.collect_list("place").alias("places")), "lines-wanted"), 32 + 4 * F.size("places"))
+    split = docs.select(names.doc().alias("doc"), "text").join(wanted, "doc").select("doc", "places", F.split("text", "\n").alias("lines"))
+    held = split.select("doc", F.explode(F.transform("places", lambda k: F.struct(k.alias("place"), F.get("lines", k).alias("t")))).alias("own"))
+    hashes = F.array_distinct(F.transform(words_of(F.col("own.t")), lambda w: F.xxhash64(w)))
+    return written(held.select(names.line(F.col("doc"), F.col("own.place")).alias("line"), hashes.alias("w")), "line-words")
+
+
+def similar(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """Rows (line): those whose earlier partner in a pair is similar enough."""
+    a, b = words.select(F.col("line").alias("earlier"), F.col("w").alias("wa")), words.select(F.col("line").alias("later"), F.col("w").alias("wb"))
     both = pairs.join(a, "earlier").join(b, "later")
     same = F.size(F.array_intersect("wa", "wb"))
     return written(both.where(same >= (F.size("wa") + F.size("wb") - same) * SIMILARITY - 1e-9).select(F.col("later").alias("line")).distinct(), "lines-verified")
 
 
-def verified_by_turns(pairs: DataFrame, docs: DataFrame, names: Names) -> DataFrame:
-    """As ``verified``, but a line meets its other partners only if the earliest one was not similar enough."""
-    pairs = written(pairs, "line-partners")
-    sure = verified(pairs.groupBy("later").agg(F.min("earlier").alias("earlier")), docs, names)
+def verified(pairs: DataFrame, docs: DataFrame, names: Names) -> DataFrame:
+    """Rows (line): those with a similar enough partner in written pairs; a line's other partners are tried only if the earliest fails."""
+    words = words_of_lines(pairs, docs, names)
+    sure = similar(pairs.groupBy("later").agg(F.min("earlier").alias("earlier")), words)
     rest = pairs.join(sure.withColumnRenamed("line", "later"), "later", "left_anti")
-    return sure.unionByName(verified(rest, docs, names))
+    return sure.unionByName(similar(rest, words))
 
 
 def removed_lines(docs: DataFrame, names: Names) -> DataFrame:
     """Rows (line)."""
     docs = docs if names.long else docs.dropDuplicates(["doc_id", "text"])
-    ranked = written(ranked_lines(docs, names), "ranked-lines")
-    firsts = ranked.where(~F.col("again")).select("line", "n", "map", "map2", "prefix")
+    ranked = written(ranked_lines(docs, names), "ranked-lines", {"parquet.enable.dictionary": "false"})
+    again = written(later_copies(ranked), "lines-again")
+    firsts = ranked.join(small(again), "line", "left_anti").select("line", "n", "map", "map2", "prefix")
     order = Window.partitionBy("key").orderBy("line")
-    posted = ("line", "meta", "map", "map2")
-    rows = postings(firsts, F.slice("prefix", 1, LEADERS))
-    before = [F.struct(*[f(c).over(order).alias(f"p_{c}") for c in posted]) for f in (F.first, *[lambda c, k=k: F.lag(c, k) for k in range(1, BEFORE + 1)])]
-    led = rows.select(*posted, *[b.alias(f"before{k}") for k, b in enumerate(before)])
-    led = led.select(*posted, F.explode(F.array(*[f"before{k}" for k in range(len(before))])).alias("p")).select(*posted, "p.*")
-    near = led.where((F.col("p_line") < F.col("line")) & may_match("p_", ""))
-    settled = verified_by_turns(near.select(F.col("p_line").alias("earlier"), F.col("line").alias("later")).distinct(), docs, names)
+    posted = ("line", "meta", "map")
+    rows = postings(firsts)
+    seen = {f"p{k}_{c}": (F.lag(c, k).over(order) if k else F.first(c).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))) for k in range(BEFORE + 1) for c in posted}
+    led = rows.select(*posted, *[c.alias(name) for name, c in seen.items()]).where(F.col("p0_line") < F.col("line"))
+    earlier = [F.when((F.col(f"p{k}_line") < F.col("line")) & may_match(f"p{k}_", "", whole=False), F.col(f"p{k}_line")) for k in range(BEFORE + 1)]
+    near = led.select(F.explode(F.array(*earlier)).alias("earlier"), F.col("line").alias("later")).where("earlier is not null")
+    settled = verified(written(near.distinct(), "line-partners"), docs, names)
     flagged = firsts.join(small(settled).withColumn("settled", F.lit(True)), "line", "left")
-    posted = with_words_before(flagged, F.coalesce("settled", F.lit(False)))
-    a, b = posted.alias("a"), posted.alias("b")
+    searched = with_words_before(flagged, F.coalesce("settled", F.lit(False)))
+    a, b = searched.alias("a"), searched.alias("b")
     # A settled line needs no partner; told from both sides' columns, so that both read the same shuffled postings.
     open_ = (F.col("b.meta").bitwiseAND(F.lit(1)) * 2 + F.col("a.meta").bitwiseAND(F.lit(1))) < 2
-    pairs = a.join(b, "key").where((F.col("a.line") < F.col("b.line")) & open_ & ~met_before("a.", "b.") & may_match("a.", "b."))
-    late = verified_by_turns(pairs.select(F.col("a.line").alias("earlier"), F.col("b.line").alias("later")).distinct(), docs, names)
-    return ranked.where("again").select("line").unionByName(settled).unionByName(late)
+    pairs = a.join(b, "key").where((F.col("a.line") < F.col("b.line")) & may_match("a.", "b.") & open_ & ~met_before("a.", "b."))
+    pairs = written(pairs.select(F.col("a.line").alias("earlier"), F.col("b.line").alias("later")).distinct(), "line-partners")
+    late = verified(pairs, docs, names)
+    return again.unionByName(settled).unionByName(late)
 
 
 def dedup_lines(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -200,9 +229,9 @@ def dedup_lines(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     names = Names(docs)
     doc, place = names.parts("line")
     gone = removed_lines(docs.select("doc_id", "text"), names).select(doc.alias("doc"), place.alias("place")).groupBy("doc").agg(F.collect_set("place").alias("places"))
-    joined = docs.withColumn("doc", names.doc()).join(small(written(gone, "gone-lines")), "doc", "left").withColumn("lines", F.when(F.col("places").isNotNull(), F.split("text", "\n")))
+    joined = docs.withColumn("doc", names.doc()).join(small(written(gone, "gone-lines"), 32 + 4 * F.size("places")), "doc", "left").withColumn("lines", F.when(F.col("places").isNotNull(), F.split("text", "\n")))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "places"), lambda k: F.get("lines", k))
     text = F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    n_lines = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     n_removed = F.coalesce(F.size("places"), F.lit(0)).cast("long")
     return joined.select("doc_id", text.alias("text"), n_lines.alias("n_lines"), n_removed.alias("n_removed"), *[F.col(f"carry{k}").alias(c) for k, c in enumerate(carry)])
