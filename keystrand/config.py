@@ -7,7 +7,7 @@ from dataclasses import asdict, dataclass, fields
 
 #: Values that a size or an interval divides by or counts from, and so must be positive.
 POSITIVE = ("NumberOfLevels", "MaxTables", "MaxBytesSSTables", "SegmentSize", "MaxHeight", "NumberOfSSTables", "IndexInterval", "SummaryInterval", "Capacity", "Rate", "M", "MaxSize", "NumberOfMemtables", "CacheMaxSize")
-CHOICES = {"CompactBy": ("byte", "amount"), "CompactType": ("size_tiered", "leveled"), "MemtableStructure": ("btree", "skiplist")}
+CHOICES = {"CompactBy": ("byte", "amount"), "CompactType": ("size_tiered", "leveled", "level"), "MemtableStructure": ("btree", "skiplist")}
 
 
 @dataclass(frozen=True)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystrand.functions.hashing import big_endian, seed_bytes, unsigned_mod, word64
+from keystrand.plans.dense import dense
 
 SEED = 1000
 
@@ -32,9 +33,8 @@ def places(element: str | Column, m: int, k: int, seed: int = SEED) -> Column:
 
 
 def bits(df: DataFrame, element: str, m: int, k: int, seed: int = SEED) -> DataFrame:
-    """Rows (bit): the positions that are set."""
-    keys = df.select(F.col(element).alias("e")).where("e is not null").distinct()
-    return keys.select(F.explode(places("e", m, k, seed)).alias("bit")).distinct()
+    """Rows (bit): the positions that are set; a task sends each once at most, however many elements it has."""
+    return df.where(F.col(element).isNotNull()).select(F.explode(places(element, m, k, seed)).alias("bit")).distinct()
 
 
 def merge(*filters: DataFrame) -> DataFrame:
@@ -53,6 +53,20 @@ def membership(set_bits: DataFrame, items: DataFrame, element: str, m: int, k: i
 
 def payload(set_bits: DataFrame, m: int, k: int, seed: int = SEED) -> DataFrame:
     """The filter as one binary value: m (4 bytes), a byte for each bit, k (4 bytes), the seeds."""
-    cells = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.when(F.array_contains("set", i), F.lit("01")).otherwise(F.lit("00")))
+    if m >= 2**31:
+        raise ValueError("a filter of 2**31 bits or more has no serialised form")
     tail = b"".join(seed_bytes(seed + i) for i in range(k))
-    return set_bits.agg(F.collect_set("bit").alias("set")).select(F.concat(big_endian(F.lit(m), 4), F.unhex(F.array_join(cells, "")), big_endian(F.lit(k), 4), F.lit(tail)).alias("payload"))
+    body = dense(set_bits.select(F.col("bit").cast("long").alias("at"), F.lit("01").alias("hex")), m, "00")
+    return body.select(F.concat(big_endian(F.lit(m), 4), "body", big_endian(F.lit(k), 4), F.lit(tail)).alias("payload"))
+
+
+def parameters(data: bytes) -> tuple[int, int, int]:
+    """(m, k, first seed) of a stored filter."""
+    m = int.from_bytes(data[:4], "big")
+    return m, int.from_bytes(data[4 + m : 8 + m], "big"), int.from_bytes(data[8 + m : 12 + m], "big")
+
+
+def bits_of_payload(rows: DataFrame, m: int, column: str = "payload") -> DataFrame:
+    """Rows (bit) of a stored filter of m bits."""
+    cells = F.regexp_extract_all(F.hex(F.substring(column, 5, m)), F.lit("(..)"), F.lit(1))
+    return rows.select(F.posexplode(cells).alias("bit", "hex")).where("hex <> '00'").select("bit")

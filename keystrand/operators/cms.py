@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystrand.functions.hashing import big_endian, seed_bytes, unsigned_mod, word64
+from keystrand.plans.dense import dense
 
 SEED = 1000
+#: The largest counter that a stored sketch holds.
+MOST = 2**32 - 1
 
 
 def width(epsilon: float) -> int:
@@ -32,10 +35,14 @@ def places(element: str | Column, m: int, k: int, seed: int = SEED) -> Column:
 
 
 def cells(df: DataFrame, element: str, epsilon: float, delta: float, seed: int = SEED) -> DataFrame:
-    """Rows (row, col, n).  Elements are counted first, so each distinct one is hashed once."""
-    m, k = checked(epsilon, delta)
-    counted = df.where(F.col(element).isNotNull()).groupBy(F.col(element).alias("e")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.select("n", F.explode(places("e", m, k, seed)).alias("c")).groupBy("c.row", "c.col").agg(F.sum("n").alias("n"))
+    """Rows (row, col, n); a task sends a row for each cell at most, however many elements it has."""
+    return cells_of(df, element, *checked(epsilon, delta), seed)
+
+
+def cells_of(df: DataFrame, element: str, m: int, k: int, seed: int = SEED) -> DataFrame:
+    """As ``cells``, by the numbers of columns and rows."""
+    placed = df.where(F.col(element).isNotNull()).select(F.explode(places(element, m, k, seed)).alias("c"))
+    return placed.groupBy("c.row", "c.col").agg(F.count(F.lit(1)).alias("n"))
 
 
 def merge(*sketches: DataFrame) -> DataFrame:
@@ -47,16 +54,40 @@ def merge(*sketches: DataFrame) -> DataFrame:
 
 def estimate(sketch: DataFrame, items: DataFrame, element: str, epsilon: float, delta: float, seed: int = SEED) -> DataFrame:
     """Rows (element, least, most): the least counter is the estimate, the most is for comparison; neither is below the count."""
-    m, k = checked(epsilon, delta)
+    return estimate_of(sketch, items, element, *checked(epsilon, delta), seed)
+
+
+def estimate_of(sketch: DataFrame, items: DataFrame, element: str, m: int, k: int, seed: int = SEED) -> DataFrame:
+    """As ``estimate``, by the numbers of columns and rows."""
     asked = items.select(element).distinct().select(F.col(element), F.explode(places(element, m, k, seed)).alias("c")).select(element, "c.row", "c.col")
     met = asked.join(sketch, ["row", "col"], "left").select(element, F.coalesce("n", F.lit(0)).alias("n"))
     return met.groupBy(element).agg(F.min("n").alias("least"), F.max("n").alias("most"))
 
 
 def payload(sketch: DataFrame, epsilon: float, delta: float, seed: int = SEED) -> DataFrame:
-    """The sketch as one binary value: m and k (4 bytes each), the seeds, then k rows of m counters of 4 bytes."""
-    m, k = checked(epsilon, delta)
-    counts = F.map_from_entries(F.collect_list(F.struct((F.col("row") * m + F.col("col")).alias("at"), "n")))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(m * k - 1)), lambda i: F.lpad(F.hex(F.coalesce(F.element_at(F.col("c"), i), F.lit(0))), 8, "0"))
+    """The sketch as one binary value: m and k (4 bytes each), the seeds, then k rows of m counters of 4 bytes.
+
+    A counter beyond 4 bytes is stored as the largest there is, so a stored estimate stops at 2**32 - 1.
+    """
+    return payload_of(sketch, *checked(epsilon, delta), seed)
+
+
+def payload_of(sketch: DataFrame, m: int, k: int, seed: int = SEED) -> DataFrame:
+    """As ``payload``, by the numbers of columns and rows."""
     head = b"".join(seed_bytes(seed + i) for i in range(k))
-    return sketch.agg(counts.alias("c")).select(F.concat(big_endian(F.lit(m), 4), big_endian(F.lit(k), 4), F.lit(head), F.unhex(F.array_join(cells, ""))).alias("payload"))
+    cell = F.lpad(F.hex(F.least("n", F.lit(MOST))), 8, "0")
+    body = dense(sketch.select((F.col("row").cast("long") * m + F.col("col")).alias("at"), cell.alias("hex")), m * k, "00000000")
+    return body.select(F.concat(big_endian(F.lit(m), 4), big_endian(F.lit(k), 4), F.lit(head), "body").alias("payload"))
+
+
+def parameters(data: bytes) -> tuple[int, int, int]:
+    """(m, k, first seed) of a stored sketch."""
+    m, k, seed = (int.from_bytes(data[i : i + 4], "big") for i in (0, 4, 8))
+    return m, k, seed
+
+
+def cells_of_payload(rows: DataFrame, m: int, k: int, column: str = "payload") -> DataFrame:
+    """Rows (row, col, n) of a stored sketch; cells of 0 are left out."""
+    cells = F.regexp_extract_all(F.hex(F.substring(column, 9 + 32 * k, 4 * m * k)), F.lit("(.{8})"), F.lit(1))
+    found = rows.select(F.posexplode(cells).alias("at", "hex")).where("hex <> '00000000'")
+    return found.select(F.floor(F.col("at") / m).cast("int").alias("row"), (F.col("at") % m).cast("int").alias("col"), F.conv("hex", 16, 10).cast("long").alias("n"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystrand.functions.hashing import big_endian, top_bits, trailing_zeros, word64
+from keystrand.plans.dense import dense
 
 
 def checked_precision(p: int) -> int:
@@ -55,12 +56,10 @@ def estimate_native(df: DataFrame, element: str, by: tuple[str, ...] = (), relat
 def payload(sketch: DataFrame, p: int) -> DataFrame:
     """The sketch as one binary value: number of registers (8 bytes), precision (1), a byte each."""
     m = 1 << checked_precision(p)
-    ranks = F.map_from_entries(F.collect_list(F.struct("bucket", "rank")))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.lpad(F.hex(F.coalesce(F.element_at(F.col("r"), i), F.lit(0))), 2, "0"))
-    return sketch.agg(ranks.alias("r")).select(F.concat(big_endian(F.lit(m), 8), big_endian(F.lit(p), 1), F.unhex(F.array_join(cells, ""))).alias("payload"))
+    body = dense(sketch.select(F.col("bucket").cast("long").alias("at"), F.lpad(F.hex("rank"), 2, "0").alias("hex")), m, "00")
+    return body.select(F.concat(big_endian(F.lit(m), 8), big_endian(F.lit(p), 1), "body").alias("payload"))
 
 
 def registers_of_payload(rows: DataFrame, column: str = "payload") -> DataFrame:
-    body = F.substring(F.hex(column), 19, 2**30)
-    cells = F.transform(F.sequence(F.lit(0), (F.length(body) / 2).cast("int") - 1), lambda i: F.conv(F.substr(body, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
-    return rows.select(F.posexplode(cells).alias("bucket", "rank")).where("rank > 0")
+    cells = F.regexp_extract_all(F.hex(F.substring(column, 10, 2**30)), F.lit("(..)"), F.lit(1))
+    return rows.select(F.posexplode(F.transform(cells, lambda c: F.conv(c, 16, 10).cast("int"))).alias("bucket", "rank")).where("rank > 0")

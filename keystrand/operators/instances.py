@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from keystrand.functions.hashing import hamming, pack64, unpack64
 from keystrand.functions.keys import RESERVED
-from keystrand.operators import log, read
+from keystrand.operators import bloom, cms, hll, log, read
 from keystrand.operators.simhash import fingerprints
 
 PREFIX = {kind: prefix for prefix, kind in RESERVED.items() if kind != "token_bucket"}
@@ -50,3 +50,54 @@ def fingerprint_distance(rows: DataFrame, a: str, b: str) -> int:
         raise KeyError("no such fingerprint")
     one = rows.sparkSession.range(1)
     return one.select(hamming(F.lit(pair[0]["fp"]), F.lit(pair[1]["fp"])).alias("d")).first()["d"]
+
+
+def _stored(rows: DataFrame, kind: str, name: str) -> tuple[DataFrame, bytes]:
+    """(the instance's row, its bytes); raises if there is none."""
+    found = fetch(rows, kind, name)
+    if (one := found.first()) is None:
+        raise KeyError(f"no such instance: {name}")
+    return found, bytes(one["payload"])
+
+
+def bloom_add(rows: DataFrame, name: str, items: DataFrame, element: str, ts) -> DataFrame:
+    """The log with a stored filter that also has the items' elements."""
+    found, data = _stored(rows, "bloom", name)
+    m, k, seed = bloom.parameters(data)
+    grown = bloom.merge(bloom.bits_of_payload(found, m), bloom.bits(items, element, m, k, seed))
+    return store(rows, "bloom", name, bloom.payload(grown, m, k, seed), ts)
+
+
+def bloom_check(rows: DataFrame, name: str, items: DataFrame, element: str) -> DataFrame:
+    """Rows (element, maybe) by a stored filter."""
+    found, data = _stored(rows, "bloom", name)
+    m, k, seed = bloom.parameters(data)
+    return bloom.membership(bloom.bits_of_payload(found, m), items, element, m, k, seed)
+
+
+def cms_add(rows: DataFrame, name: str, items: DataFrame, element: str, ts) -> DataFrame:
+    """The log with a stored sketch that also counts the items."""
+    found, data = _stored(rows, "cms", name)
+    m, k, seed = cms.parameters(data)
+    grown = cms.merge(cms.cells_of_payload(found, m, k), cms.cells_of(items, element, m, k, seed))
+    return store(rows, "cms", name, cms.payload_of(grown, m, k, seed), ts)
+
+
+def cms_frequency(rows: DataFrame, name: str, items: DataFrame, element: str) -> DataFrame:
+    """Rows (element, least, most) by a stored sketch."""
+    found, data = _stored(rows, "cms", name)
+    m, k, seed = cms.parameters(data)
+    return cms.estimate_of(cms.cells_of_payload(found, m, k), items, element, m, k, seed)
+
+
+def hll_add(rows: DataFrame, name: str, items: DataFrame, element: str, ts) -> DataFrame:
+    """The log with a stored sketch that also has the items' elements."""
+    found, data = _stored(rows, "hll", name)
+    grown = hll.merge(hll.registers_of_payload(found), hll.registers(items, element, data[8]))
+    return store(rows, "hll", name, hll.payload(grown, data[8]), ts)
+
+
+def hll_cardinality(rows: DataFrame, name: str) -> DataFrame:
+    """One row (estimate) by a stored sketch."""
+    found, data = _stored(rows, "hll", name)
+    return hll.estimate(hll.registers_of_payload(found), data[8])

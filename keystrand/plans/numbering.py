@@ -12,11 +12,13 @@ def numbered(rows: DataFrame, order: list[str], name: str, first: int = 0) -> Da
     """Add ``name``: long, from ``first`` in the order of the columns.
 
     Rows are sorted in ranges and written once, each with its range and its place there; the ranges' sizes, one row each, are
-    summed up and joined back.
+    summed up and joined back.  The columns travel as one struct, so no name can clash.
     """
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
-    kept = written(placed, "numbered").withColumn("__range", F.shiftright("__at", 33))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = kept.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    number = F.col("__start") + F.col("__at").bitwiseAND(F.lit(2**33 - 1)) + F.lit(first).cast("long")
-    return kept.join(F.broadcast(starts), "__range").select(*rows.columns, number.cast("long").alias(name))
+    keys = [f"o{k}" for k in range(len(order))]
+    whole = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), *[F.col(f"`{c}`").alias(k) for c, k in zip(order, keys, strict=True)])
+    placed = whole.repartitionByRange(*keys).sortWithinPartitions(*keys).select("row", F.monotonically_increasing_id().alias("at"))
+    kept = written(placed, "numbered").select("row", F.shiftright("at", 33).alias("range"), F.col("at").bitwiseAND(F.lit(2**33 - 1)).alias("place"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = kept.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    number = F.col("start") + F.col("place") + F.lit(first).cast("long")
+    return kept.join(F.broadcast(starts), "range").select(*[F.col("row").getField(c).alias(c) for c in rows.columns], number.cast("long").alias(name))

@@ -44,6 +44,35 @@ def delete(spark: SparkSession, path: str) -> None:
     store.delete(where, True)
 
 
+def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file under another name, then rename it over the old one."""
+    store, draft = hadoop(spark, f"{path}.{uuid.uuid4().hex}")
+    out = store.create(draft, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    jvm = spark.sparkContext._jvm
+    files = jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    context = files.FileContext.getFileContext(draft.toUri(), conf) if draft.toUri().getScheme() else files.FileContext.getFileContext(conf)
+    overwrite = spark.sparkContext._gateway.new_array(files.Options.Rename, 1)
+    overwrite[0] = files.Options.Rename.OVERWRITE
+    context.rename(draft, files.Path(path), overwrite)
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes | None:
+    """A small file's bytes; None if there is no file."""
+    store, where = hadoop(spark, path)
+    if not store.exists(where):
+        return None
+    stream = store.open(where)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` in the shared folder and read it back."""
     path = fresh_path(df.sparkSession, name)

@@ -10,12 +10,12 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from keystrand.functions.hashing import big_endian
 from keystrand.operators import merkle
-from keystrand.plans.storage import hadoop
+from keystrand.plans.storage import hadoop, put_bytes, read_bytes
 
 SCHEMA = "key string, value binary, ts timestamp, seq long, tombstone boolean, crc long"
 
@@ -25,39 +25,22 @@ class RunStore:
         self.spark, self.path = spark, path.rstrip("/")
 
     def manifest(self) -> list[dict]:
-        store, where = hadoop(self.spark, f"{self.path}/manifest.json")
-        if not store.exists(where):
-            return []
-        stream = store.open(where)
-        try:
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return json.loads(text)
+        found = read_bytes(self.spark, f"{self.path}/manifest.json")
+        return json.loads(found) if found else []
 
     def publish(self, runs: list[dict]) -> None:
-        draft = f"{self.path}/manifest-{uuid.uuid4().hex}.json"
-        store, where = hadoop(self.spark, draft)
-        out = store.create(where, True)
-        try:
-            out.write(bytearray(json.dumps(runs), "utf-8"))
-        finally:
-            out.close()
-        _, final = hadoop(self.spark, f"{self.path}/manifest.json")
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()) if where.toUri().getScheme() else self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext()
-        overwrite = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        overwrite[0] = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(where, final, overwrite)
+        put_bytes(self.spark, f"{self.path}/manifest.json", json.dumps(runs).encode())
 
     def write(self, rows: DataFrame, level: int) -> dict:
         """Write a run; it does not count before it is published."""
         run_id = max([r["run_id"] for r in self.manifest()], default=0) + 1
         path = f"{self.path}/level={level}/run_id={run_id}-{uuid.uuid4().hex[:8]}"
         kept = rows.select("key", F.lower("key").alias("key_lc"), "value", "ts", "seq", "tombstone", "crc")
+        seen = Observation()
+        kept = kept.observe(seen, F.count(F.lit(1)).alias("rows"))
         kept.repartitionByRange("key").sortWithinPartitions("key", F.desc("ts"), F.desc("seq")).write.option("parquet.bloom.filter.enabled#key", "true").parquet(path)
-        found = self.spark.read.parquet(path)
         store, where = hadoop(self.spark, path)
-        return {"run_id": run_id, "level": level, "path": path, "rows": found.count(), "bytes": store.getContentSummary(where).getLength()}
+        return {"run_id": run_id, "level": level, "path": path, "rows": seen.get["rows"], "bytes": store.getContentSummary(where).getLength()}
 
     def add(self, rows: DataFrame, level: int = 1) -> dict:
         run = self.write(rows, level)

@@ -21,7 +21,7 @@ class Bucket(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = tuple(self.state.get()) if self.state.exists() else None
-        whole = pd.concat(list(rows)).sort_values(["us", "seq"])
+        whole = pd.concat(list(rows)).sort_values(["us", "seq"])  # a key's events of one micro-batch: bound it by the source's trigger
         admitted, tokens = [], []
         for us in whole["us"].tolist():
             state, good = step(state, us, self.capacity, self.rate, self.unit)
@@ -37,7 +37,7 @@ class Bucket(StatefulProcessor):
 def admit_stream(events: DataFrame, capacity: int, rate: int, unit_seconds: int = 1) -> DataFrame:
     """Rows (key, seq, admitted, tokens) of a stream (key, seq, ts); a batch's events are taken in the order of time.
 
-    Needs the RocksDB state store provider.
+    Events without a time are left out.  Needs the RocksDB state store provider.
     """
-    timed = events.select(F.col("key").cast("string").alias("key"), F.col("seq").cast("long").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    timed = events.where(F.col("ts").isNotNull()).select(F.col("key").cast("string").alias("key"), F.col("seq").cast("long").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     return timed.groupBy("key").transformWithStateInPandas(Bucket(capacity, rate, unit_seconds), "key string, seq long, admitted boolean, tokens long", "append", "none")
