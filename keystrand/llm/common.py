@@ -2,50 +2,56 @@
 
 from __future__ import annotations
 
-import atexit
 import bisect
+import ctypes
 import math
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrand.plans.shipping import ship
+from keystrand.plans.storage import fresh_path
 
 #: Text bytes that one ordered chunk aims at; a task holds one chunk at a time.
 CHUNK_BYTES = 16_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    for conf in (spark.conf, spark.sparkContext.getConf()):
-        if found := conf.get("spark.checkpoint.dir", None):
-            return found.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="keystrand-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+#: Rows and bytes of an Arrow batch to or from a Python worker, unless the session says otherwise.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4000000"}
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the workers, and bound what a worker is handed at a time."""
+    ship(spark)
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
+@cache
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
 
-    def drop() -> None:
-        try:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
-        except Exception:  # the JVM may be gone already
-            pass
 
-    atexit.register(drop)
-    return path
+def lean(run):
+    """A task's function that hands freed memory back to the system after each batch it makes."""
+
+    @wraps(run)
+    def batch_by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for made in run(batches):
+            yield made
+            del made
+            pa.default_memory_pool().release_unused()
+            if _trim():
+                _trim()(0)
+
+    return batch_by_batch
 
 
 def written(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
@@ -58,7 +64,7 @@ def written(df: DataFrame, name: str, options: dict[str, str] | None = None) ->
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the driver's; the package goes to the workers with it."""
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -77,7 +83,7 @@ def as_binary(rows: list[bytes | None]) -> pa.Array:
     return pa.array(rows, pa.binary())
 
 
-def slices(texts: list[str | None], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str | None], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about ``chars`` code points, one text at least."""
     at = size = 0
     for i, x in enumerate(texts):
@@ -92,9 +98,10 @@ def slices(texts: list[str | None], chars: int = 2_000_000) -> Iterator[tuple[in
 def ordered_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, carry: tuple[str, ...] = ()) -> tuple[DataFrame, list[int]]:
     """Deal documents to chunks of ascending id ranges.
 
-    Returns rows (chunk int, doc_id long, ztext binary) and the upper bounds of the ranges.  Chunk c
+    Returns rows (chunk int, doc_id long, tie binary, ztext binary) and the upper bounds of the ranges.  Chunk c
     holds the ids above bound c-1 up to bound c; null ids are in chunk 0.  ``ztext`` is the UTF-8 text
-    under zstd, null where the text is null, so that a later shuffle moves compressed rows.  Bounds come from one
+    under zstd, null where the text is null, so that a later shuffle moves compressed rows; ``tie``, the text's 128-bit hash
+    (null for null), orders rows that share an id, whatever the compressor makes of them.  Bounds come from one
     aggregate pass over ids and text lengths; their number follows the text's size.  Columns named in ``carry`` come
     along as carry0, carry1, and so on.
     """
@@ -112,10 +119,11 @@ def ordered_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             ids = b.column(0)
             chunk = np.searchsorted(edges, ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="left").astype(np.int32)
             texts = b.column(1).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(chunk), ids, as_binary([None if t is None else press.compress(t) for t in texts]), *b.columns[2:]], names=["chunk", "doc_id", "ztext", *b.schema.names[2:]])
+            ties, packed = ([None if t is None else f(t) for t in texts] for f in (xxhash.xxh3_128_digest, press.compress))
+            yield pa.RecordBatch.from_arrays([pa.array(chunk), ids, as_binary(ties), as_binary(packed), *b.columns[2:]], names=["chunk", "doc_id", "tie", "ztext", *b.schema.names[2:]])
 
     extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[2:])
-    return docs.mapInArrow(deal, "chunk int, doc_id long, ztext binary" + extra), bounds
+    return docs.mapInArrow(lean(deal), "chunk int, doc_id long, tie binary, ztext binary" + extra), bounds
 
 
 def chunk_of(bounds: list[int], doc_id: int | None) -> int:

@@ -10,7 +10,7 @@ one for each ``EACH`` code points if that is more.  The likeness of two fingerpr
 If not, it is the share of the values up to the point that both sketches reach that both hold, an estimate of the windows'
 Jaccard similarity J with a standard error of sqrt(J * (1 - J) / m) for m values, and at most m / (m + 1).
 
-Null text counts as empty.  Ties of a doc_id are ordered by text; a null doc_id comes last in descending order.  An
+Null text counts as empty.  Ties of a doc_id are ordered by a hash of the text; a null doc_id comes last in descending order.  An
 empty table gives no rows; other columns are ignored.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrand.llm.common import ordered_chunks, unzipped
+from keystrand.llm.common import lean, ordered_chunks, unzipped
 
 #: Modulus (a Mersenne prime) and the two bases.
 PRIME = np.uint64(2**31 - 1)
@@ -34,7 +34,6 @@ KEPT = 64
 EACH = 64
 #: Multiplier that mixes a window's hash before the smallest are taken.
 MIX = np.uint64(0x9E3779B97F4A7C15)
-NO_ID = -(2**63)
 
 
 class Powers:
@@ -151,16 +150,19 @@ def fingerprint_likeness(a: str, b: str) -> float:
     return likeness(*(np.frombuffer(bytes.fromhex(x[16:]), dtype=">u4").astype(np.uint32) for x in (a, b)), a[:16] == b[:16])
 
 
-def _heads(docs: DataFrame, bounds: list[int]) -> dict[int, int]:
-    """The largest id of each chunk that has rows; one number for each chunk of the input."""
+def _heads(docs: DataFrame, bounds: list[int]) -> dict[int, int | None]:
+    """The largest id of each chunk that has rows, None if it has null ids only; one number for each chunk of the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges, most = np.array(bounds, dtype=np.int64), {}
         for b in batches:
-            ids = b.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            chunk = np.searchsorted(edges, ids, side="left")
+            known = b.column(0).drop_null().to_numpy(zero_copy_only=False)
+            if len(known) < len(b):
+                most.setdefault(0, None)
+            chunk = np.searchsorted(edges, known, side="left")
             for c in np.unique(chunk).tolist():
-                most[c] = max(most.get(c, NO_ID), int(ids[chunk == c].max()))
+                head = int(known[chunk == c].max())
+                most[c] = head if most.get(c) is None else max(most[c], head)
         yield pa.RecordBatch.from_arrays([pa.array(list(most), pa.int32()), pa.array(list(most.values()), pa.int64())], names=["chunk", "head"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "chunk int, head long")
@@ -177,18 +179,18 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     chunks, bounds = ordered_chunks(docs)
     heads = _heads(docs, bounds)
     order = sorted(heads)
-    after: dict[int, list[int]] = {}  # the chunks that need a chunk's first document as the successor of their last
+    after: dict[int | None, list[int]] = {}  # the chunks that need a chunk's first document as the successor of their last
     for k, c in enumerate(order):
         after.setdefault(heads[order[k - 1]], []).append(c)
 
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(1).fill_null(NO_ID)
-            yield pa.RecordBatch.from_arrays([b.column(0), ids, b.column(2), pa.array(np.zeros(len(b), dtype=np.int8))], names=["chunk", "doc_id", "ztext", "tail"])
-            extra = [(c, i, k) for k, i in enumerate(ids.to_pylist()) for c in after.get(i, ())]
+            names = ["chunk", "doc_id", "tie", "ztext", "tail"]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(np.zeros(len(b), dtype=np.int8))], names=names)
+            extra = [(c, i, k) for k, i in enumerate(b.column(1).to_pylist()) for c in after.get(i, ())]
             if extra:
                 c, i, k = zip(*extra, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(i, pa.int64()), b.column(2).take(pa.array(k)), pa.array(np.ones(len(c), dtype=np.int8))], names=["chunk", "doc_id", "ztext", "tail"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(i, pa.int64()), *(b.column(j).take(pa.array(k)) for j in (2, 3)), pa.array(np.ones(len(c), dtype=np.int8))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # (chunk, id, text, prefix hash, windows, sketch, whole)
@@ -201,8 +203,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             rows: list[tuple] = []
-            chunk, ids, tail = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()
-            for c, i, z, t in zip(chunk, ids, b.column(2).to_pylist(), tail, strict=True):
+            chunk, ids, tail = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(4).to_pylist()
+            for c, i, z, t in zip(chunk, ids, b.column(3).to_pylist(), tail, strict=True):
                 if t and ended == c:
                     continue
                 text = unzipped([z])[0].decode("utf-8", "replace")
@@ -214,10 +216,10 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()), strict=True)], names=NAMES)
 
-    dealt = chunks.mapInArrow(copy, "chunk int, doc_id long, ztext binary, tail byte")
+    dealt = chunks.mapInArrow(lean(copy), "chunk int, doc_id long, tie binary, ztext binary, tail byte")
     n = len(bounds) + 1
-    ordered = dealt.repartitionById(n, F.col("chunk")).sortWithinPartitions("chunk", "tail", F.desc("doc_id"), F.desc("ztext"))
-    return ordered.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long")
+    ordered = dealt.repartitionById(n, F.col("chunk")).sortWithinPartitions("chunk", "tail", F.desc_nulls_last("doc_id"), F.desc_nulls_last("tie"))
+    return ordered.mapInArrow(lean(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long")
 
 
 NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_prefix"]
@@ -231,4 +233,4 @@ def _edited(this: tuple, following: tuple) -> tuple:
     whole, parts = spliced(own, h, next_own, m, windows, next_windows)
     edited_values = sketch(parts, whole)
     edited = hashlib.sha256((text[:h] + next_text[:m]).encode("utf-8", "surrogatepass")).hexdigest()
-    return (None if doc_id == NO_ID else doc_id, own.n, edited, printed(own.whole(), values), printed(whole, edited_values), likeness(values, edited_values, head(own.whole()) == head(whole)), likeness(values, next_values, head(own.whole()) == head(next_own.whole())), own.extension(0, next_own, 0))
+    return (doc_id, own.n, edited, printed(own.whole(), values), printed(whole, edited_values), likeness(values, edited_values, head(own.whole()) == head(whole)), likeness(values, next_values, head(own.whole()) == head(next_own.whole())), own.extension(0, next_own, 0))

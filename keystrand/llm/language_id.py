@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrand.llm.common import held, slices
+from keystrand.llm.common import held, lean, slices
 
 ORDER = 3
 TRAIN_BYTES = 2_000_000
@@ -34,7 +34,7 @@ SCORE_BYTES = 64
 #: The hash that picks the sample has so many parts, and each of them as many again.
 DRAWS = 1000
 #: Rows, and code points, that are coded at a time.
-ROWS, SLICE = 1000, 1_000_000
+ROWS, SLICE = 1000, 500_000
 #: Code length units of one bit.
 UNIT = 1 << 16
 #: A-Z count as a-z; the byte before a text's start.
@@ -52,15 +52,15 @@ def fold_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return FOLD[data[offsets[0] : offsets[-1]]], offsets - offsets[0]
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The three bytes before each byte, within its text."""
-    padded = np.concatenate([np.full(3, PAD, dtype=np.uint8), data]).astype(np.uint32)
-    out = padded[:-3] << np.uint32(16) | padded[1:-2] << np.uint32(8) | padded[2:-1]
+def contexts(data: np.ndarray, offsets: np.ndarray, bits: int = 8, pad_with: int = PAD) -> np.ndarray:
+    """The three bytes, or other symbols of so many bits, before each, within its text."""
+    padded = np.concatenate([np.full(3, pad_with, dtype=np.uint8), data]).astype(np.uint32)
+    out = padded[:-3] << np.uint32(2 * bits) | padded[1:-2] << np.uint32(bits) | padded[2:-1]
     starts, ends = offsets[:-1], offsets[1:]
     for k in range(3):
         own = starts[starts + k < ends] + k
-        keep = np.uint32((1 << (8 * k)) - 1)
-        pad = sum(PAD << (8 * j) for j in range(k, 3))
+        keep = np.uint32((1 << (bits * k)) - 1)
+        pad = sum(pad_with << (bits * j) for j in range(k, 3))
         out[own] = (out[own] & keep) | np.uint32(pad)
     return out
 
@@ -136,10 +136,15 @@ class Coder:
         known = {k: np.unique(np.concatenate([(g >> 8) & ((1 << 8 * k) - 1) for g, _ in model.values()])) for k in (3, 2, 1)}
         base = {0: 0, 1: 1, 2: 1 + len(known[1]), 3: 1 + len(known[1]) + len(known[2])}
         total = base[3] + len(known[3])
-        self.rows = np.zeros(1 << 24, dtype=np.int32)
-        self.rows.reshape(-1, 256)[:, known[1]] = base[1] + np.arange(len(known[1]))
-        self.rows.reshape(-1, 65536)[:, known[2]] = base[2] + np.arange(len(known[2]))
-        self.rows[known[3]] = base[3] + np.arange(len(known[3]))
+        # Contexts are looked up by numbers of their bytes; a byte that stands in no context has the last, of no context's row.
+        inside = np.unique(np.append(known[1], PAD))
+        self.number, self.bits = np.full(256, len(inside), dtype=np.uint8), int(len(inside)).bit_length()
+        self.number[inside] = np.arange(len(inside))
+        short = [sum(self.number[known[k] >> 8 * j & 255].astype(np.int64) << self.bits * j for j in range(k)) for k in (1, 2, 3)]
+        self.rows = np.zeros(1 << 3 * self.bits, dtype=np.int32)
+        self.rows.reshape(-1, 1 << self.bits)[:, short[0]] = base[1] + np.arange(len(known[1]))
+        self.rows.reshape(-1, 1 << 2 * self.bits)[:, short[1]] = base[2] + np.arange(len(known[2]))
+        self.rows[short[2]] = base[3] + np.arange(len(known[3]))
         self.costs = np.zeros((total, self.width, len(self.languages)), dtype=np.int32)
         for k, lang in enumerate(self.languages):
             grams, n = model[lang]
@@ -162,8 +167,8 @@ class Coder:
         data, offsets = fold_texts(column)
         sizes = np.diff(offsets)
         out = np.zeros((len(sizes), len(self.languages)), dtype=np.int64)
-        ctx, full = contexts(data, offsets), np.flatnonzero(sizes)
-        step = 1 << 20
+        ctx, full = contexts(self.number[data], offsets, self.bits, int(self.number[PAD])), np.flatnonzero(sizes)
+        step = 1 << 18
         for a in range(0, len(data), step):
             b = min(a + step, len(data))
             costs = self.costs[self.rows[ctx[a:b]].astype(np.int64) * self.width + self.classes[data[a:b]]]
@@ -205,7 +210,7 @@ def predict(docs: DataFrame, model: dict[str, tuple[np.ndarray, np.ndarray]], ca
     first = 0 if keep_text else 1
     rows = docs.select(F.col("text").alias("c"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)])
     schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[first:]) + "p0 string, p1 double, p2 double"
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(lean(run), schema)
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(carry)], *[F.col("c").alias("text")] * keep_text, F.col("p0").alias("lang_pred"), F.col("p1").alias("score"), F.col("p2").alias("bits_per_byte"))
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrand.llm.common import written
+from keystrand.llm.common import lean, written
 from keystrand.llm.words import worker_encoder
 
 CAPACITY = 2048
@@ -74,11 +74,11 @@ class OpenBins:
             yield self._pop((self.bits & -self.bits).bit_length() - 1)
 
 
-def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
+def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, kept_words: int = KEPT_WORDS) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32), cut so that only the first piece may be shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = worker_encoder(tokenizer, drops_space=False, kept=KEPT_WORDS), end_id.to_bytes(4, "little")
+        encoder, end = worker_encoder(tokenizer, drops_space=False, kept=kept_words), end_id.to_bytes(4, "little")
         for b in batches:
             ids, rows = b.column(0).to_pylist(), ([], [], [], [], [])
             for doc_id, raw in zip(ids, encoder.encode(b.column(1).to_pylist()), strict=True):
@@ -89,7 +89,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: in
                         out.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, pieces_a_task: int = PIECES_A_TASK) -> DataFrame:
@@ -152,6 +152,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
     return pieces.repartition(n, mixed).sortWithinPartitions(mixed, *fields).mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, kept_words: int = KEPT_WORDS) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset), one per piece."""
-    return pack(written(encode_pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity)
+    return pack(written(encode_pieces(docs, tokenizer, end_id, capacity, kept_words), "pieces"), capacity)

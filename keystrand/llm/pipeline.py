@@ -10,16 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrand.llm import language_id as li
-from keystrand.llm.common import table, written
+from keystrand.llm.common import prepare, table, written
 from keystrand.llm.line_dedup import dedup_lines
 from keystrand.llm.packing import pack_documents
 from keystrand.llm.queries import vocabulary
 from keystrand.llm.simhash_dedup import representatives
 from keystrand.llm.substring_dedup import dedup_substrings
-from keystrand.plans.shipping import ship
 
 #: Code length, in bits a byte, above which no learned language explains a text better than random bytes would be.
 MOST_BITS = 8.0
+#: Words that a packing worker keeps here, where the JVM has grown with the stages before.
+KEPT_WORDS = 150_000
 
 
 def _others(docs: DataFrame) -> tuple[str, ...]:
@@ -33,7 +34,12 @@ def _like(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what is no text of a learned language: null, without a letter, or costlier than random bytes; a missing label is filled in."""
+    """Drop what is no text of a learned language: null, without a letter, or costlier than random bytes; a missing label is filled in.
+
+    Without a column ``lang`` nothing can be learned, so that raises.
+    """
+    if "lang" not in docs.columns:
+        raise ValueError("language identification learns from a column lang, which these documents don't have")
     model = li.fit(docs, li.fold_of() != 1)
     others = [c for c in docs.columns if c != "text"]
     names = {c: f"held{k}" for k, c in enumerate(others)}
@@ -57,9 +63,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows that share an id are told apart by their texts.
     """
     digest = F.coalesce(F.md5("text"), F.lit(""))
-    first = representatives(docs.select("doc_id", "text", digest.alias("digest"))).select(F.col("doc_id").alias("__first"), F.col("digest").alias("__least"))
-    named = docs.withColumn("__digest", digest).join(first, (F.col("doc_id") == F.col("__first")) & (F.col("__digest") == F.col("__least")), "left_semi").dropDuplicates(["doc_id", "__digest"])
-    return named.drop("__digest").unionByName(docs.where("doc_id is null"))
+    first = representatives(docs.select("doc_id", "text", digest.alias("digest")))
+    whole = docs.where("doc_id is not null").select("doc_id", digest.alias("digest"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = whole.join(first, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,14 +78,14 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+    return pack_documents(docs, vocabulary("byte_bpe_50k.json"), kept_words=KEPT_WORDS)
 
 
 def shipped(stage):
     """The stage, with the package sent to the workers before."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        ship(spark)
+        prepare(spark)
         return stage(spark, docs, sf_dir)
 
     return run_stage

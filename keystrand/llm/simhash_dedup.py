@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystrand.llm.common import held, slices, written
+from keystrand.llm.common import held, lean, slices, written
 
 SEED = 42
 DISTANCE = 3
@@ -89,7 +89,7 @@ def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
             fp = np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(fp.view(np.int64))], names=["doc_id", *carry, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", *carry).mapInArrow(run, "".join(["doc_id long, ", *(f"{c} string, " for c in carry), "fp long"]))
+    return docs.select(F.col("doc_id").cast("long"), "text", *carry).mapInArrow(lean(run), "".join(["doc_id long, ", *(f"{c} string, " for c in carry), "fp long"]))
 
 
 def spanning_links(values: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:

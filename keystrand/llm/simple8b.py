@@ -6,7 +6,7 @@ bits is an escape word that holds an index into the footer's list of escaped ids
 the footer has each block's offset in words and in ids, so blocks decode independently and a whole range of blocks
 decodes in a few vector operations per selector.  The footer also has the documents: ids and lengths.
 
-Documents are written in ascending doc_id order (null first, ties by text), one file per range chunk.  Null text is empty
+Documents are written in ascending doc_id order (null first, ties by a hash of the text), one file per range chunk.  Null text is empty
 text; each document ends with the end id; repeated rows are written each; an empty table writes no file.
 A file is written under a new name and renamed; only files named in the manifest count, so a lost or repeated task leaves
 nothing that is read.
@@ -22,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keystrand.llm.common import by_chunk, fresh_path, ordered_chunks, unzipped, written
+from keystrand.llm.common import by_chunk, lean, ordered_chunks, unzipped, written
 from keystrand.llm.words import worker_encoder
+from keystrand.plans.storage import fresh_path, hadoop
 
 MAGIC = b"KSIDS8B1"
 #: Selector -> (ids in a word, bits of each).  Selector 0 is an escape.
@@ -177,6 +178,12 @@ def read(data: bytes) -> Iterator[tuple[int | None, int, bytes]]:
         start += n
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system that Hadoop has it in, so that a worker doesn't take it for a local one."""
+    store, where = hadoop(spark, path)
+    return store.makeQualified(where).toString()
+
+
 def _local(path: str) -> str | None:
     return path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:") if path.startswith("file:") else path if "://" not in path else None
 
@@ -223,7 +230,7 @@ def write_token_files(docs: DataFrame, directory: str, tokenizer: str, end_id: i
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["chunk", "path", "n_docs", "n_ids", "n_bytes", "crc32"])
 
         for b in batches:
-            texts = [t.decode("utf-8", "replace") for t in unzipped(b.column(2).to_pylist())]
+            texts = [t.decode("utf-8", "replace") for t in unzipped(b.column(3).to_pylist())]
             for chunk, doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encoder.encode(texts), strict=True):
                 if chunk != current and current is not None:
                     yield finish()
@@ -234,7 +241,7 @@ def write_token_files(docs: DataFrame, directory: str, tokenizer: str, end_id: i
             yield finish()
 
     chunks, bounds = ordered_chunks(docs)
-    manifest = by_chunk(chunks, len(bounds) + 1, ["doc_id", "ztext"]).mapInArrow(run, "chunk int, path string, n_docs long, n_ids long, n_bytes long, crc32 long")
+    manifest = by_chunk(chunks, len(bounds) + 1, ["doc_id", "tie"]).mapInArrow(lean(run), "chunk int, path string, n_docs long, n_ids long, n_bytes long, crc32 long")
     return written(manifest, "token-manifest")
 
 
@@ -260,4 +267,5 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
-    return read_token_files(write_token_files(docs, fresh_path(docs.sparkSession, "token-ids"), tokenizer, end_id))
+    spark = docs.sparkSession
+    return read_token_files(write_token_files(docs, qualified(spark, fresh_path(spark, "token-ids")), tokenizer, end_id))

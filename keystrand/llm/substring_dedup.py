@@ -9,7 +9,7 @@
    windows merge into maximal intervals, and their words are removed.
 
 Windows are judged on the input.  "Earlier" is a smaller doc_id, or an earlier start in the same document; null ids come
-first, and rows that share a doc_id are ordered by text.  Words are runs of anything but the six ASCII white spaces.  Null
+first, and rows that share a doc_id are ordered by a hash of the text.  Words are runs of anything but the six ASCII white spaces.  Null
 text has no words; texts shorter than a window lose nothing; an empty table gives no rows.  Two different windows share
 a 64-bit hash with a chance of about n*n / 2**65 over n windows.
 """
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrand.llm.common import as_binary, by_chunk, held, ordered_chunks, unzipped
+from keystrand.llm.common import as_binary, by_chunk, held, lean, ordered_chunks, unzipped
 
 WIDTH = 20
 #: Text bytes for each chunk: a task holds some ten numbers for each word of one.
@@ -35,7 +35,7 @@ CHUNK_BYTES = 5_000_000
 BUCKET_BYTES = 9_000_000
 #: The polynomial's base, odd, and words whose hashes a worker keeps.
 BASE = 0x9E3779B97F4A7C15
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -121,7 +121,7 @@ def send_hashes(chunks: DataFrame, n_chunks: int, n_buckets: int, width: int) ->
         if texts:
             yield finish()
 
-    return by_chunk(chunks.select("chunk", "ztext"), n_chunks, []).mapInArrow(run, "bucket int, chunk int, body binary")
+    return by_chunk(chunks.select("chunk", "ztext"), n_chunks, []).mapInArrow(lean(run), "bucket int, chunk int, body binary")
 
 
 def answer_hashes(sent: DataFrame, n_buckets: int) -> DataFrame:
@@ -152,7 +152,7 @@ def answer_hashes(sent: DataFrame, n_buckets: int) -> DataFrame:
         if chunks:
             yield finish()
 
-    return sent.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket", "chunk").mapInArrow(run, "chunk int, body binary")
+    return sent.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket", "chunk").mapInArrow(lean(run), "chunk int, body binary")
 
 
 def cut(text: bytes, removed: np.ndarray, keep_space: bool) -> bytes:
@@ -219,8 +219,8 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, keep_space: bool = Fal
         for b in batches:
             if arrow is None:
                 own = [pa.field("doc_id", pa.int64()), pa.field("n_words", pa.int64()), pa.field("n_removed", pa.int64()), pa.field("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.field("kept", pa.string())]
-                arrow = pa.schema([*own, *(b.schema.field(k) for k in range(5, b.num_columns))])
-            for chunk, body, doc_id, ztext, is_doc, *extra in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                arrow = pa.schema([*own, *(b.schema.field(k) for k in range(6, b.num_columns))])
+            for chunk, body, doc_id, ztext, is_doc, _, *extra in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if chunk != current and rows:
                     yield from finish()
                     known, rows, hashed = [], [], []
@@ -236,9 +236,9 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, keep_space: bool = Fal
         if rows:
             yield from finish()
 
-    docs_part = chunks.select("chunk", F.lit(None).cast("binary").alias("body"), "doc_id", "ztext", F.lit(True).alias("is_doc"), *[f.name for f in carried])
-    answers_part = answers.select("chunk", "body", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("ztext"), F.lit(False).alias("is_doc"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in carried])
-    both = answers_part.unionByName(docs_part).repartitionById(n_chunks, F.col("chunk")).sortWithinPartitions("chunk", "is_doc", "doc_id", "ztext")
+    docs_part = chunks.select("chunk", F.lit(None).cast("binary").alias("body"), "doc_id", "ztext", F.lit(True).alias("is_doc"), "tie", *[f.name for f in carried])
+    answers_part = answers.select("chunk", "body", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("ztext"), F.lit(False).alias("is_doc"), F.lit(None).cast("binary").alias("tie"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in carried])
+    both = answers_part.unionByName(docs_part).repartitionById(n_chunks, F.col("chunk")).sortWithinPartitions("chunk", "is_doc", "doc_id", "tie")
     schema = "doc_id long, n_words long, n_removed long, removed array<struct<start: int, end: int>>, kept string" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in carried)
-    out = both.mapInArrow(run, schema)
+    out = both.mapInArrow(lean(run), schema)
     return out.select("doc_id", "n_words", "n_removed", "removed", "kept", *[F.col(f.name).alias(c) for f, c in zip(carried, carry, strict=True)])

@@ -1,8 +1,9 @@
 """Tokenizer calls that encode each distinct word once per worker.
 
 Both vocabularies split a text at white space before they merge, so the ids of a text are the ids of its
-white-space parts in turn.  Frequent parts are kept in a bounded table; the library itself encodes every part, and a
-text whose parts could influence each other (runs of white space) goes to the library whole.
+white-space parts in turn.  Frequent parts are kept in a bounded table.  New parts are encoded by the library, or, for byte-level
+vocabularies whose merges come in the order of their ids, by tiktoken's core with those ranks (``by_rank``), which gives the same
+ids; a text whose parts could influence each other (runs of white space) goes to the library whole.
 """
 
 from __future__ import annotations

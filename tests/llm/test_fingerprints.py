@@ -82,3 +82,11 @@ def test_error_of_the_estimate():
         j = len(wa & wb) / len(wa | wb)
         misses.append((fp.fingerprint_likeness(slow(a), slow(b)) - j) / (j * (1 - j) / (20_000 // fp.EACH)) ** 0.5)
     assert sum(x * x for x in misses) / len(misses) < 4
+
+
+def test_the_lowest_id_there_is_and_null_ids(spark):
+    rows = [(-(2**63), "lowest id"), (None, "no id"), (5, "five"), (None, None)]
+    found = fp.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id is None), r.doc_id or 0) for r in found) == [(False, -(2**63)), (False, 5), (True, 0), (True, 0)]
+    only = fp.fingerprint_edits(spark.createDataFrame(rows[1:2], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.n_chars) for r in only] == [(None, 5)]

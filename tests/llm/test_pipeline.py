@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import corpus_pipeline
 from test_line_dedup import slow as slow_lines
 from test_packing import check as check_packing
@@ -85,3 +86,13 @@ def test_rows_that_share_an_id(spark):
     found = pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, digest string"), "")
     assert found.columns == ["doc_id", "text", "digest"]
     assert sorted(((r.doc_id or 0, r.text) for r in found.collect())) == sorted([(0, a), (0, a), (1, a), (2, b), (2, c)])
+
+
+def test_clashing_columns_and_a_missing_label(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    names = ["__first", "__digest", "digest", "row", "fp", "a.b"]
+    rows = spark.createDataFrame([(1, text, *names), (2, text, *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    found = pipeline.drop_near_copies(spark, rows, "")
+    assert found.columns == rows.columns and [tuple(r) for r in found.collect()] == [(1, text, *names)]
+    with pytest.raises(ValueError):
+        pipeline.identify_language(spark, rows, "")

@@ -79,3 +79,15 @@ def test_hash_coding():
         assert (sd.unpacked_hashes(sd.packed_hashes(values[:n])) == values[:n]).all()
     wide = np.array([0, 2**64 - 1], dtype=np.uint64)
     assert (sd.unpacked_hashes(sd.packed_hashes(wide)) == wide).all()
+
+
+def test_rows_that_share_an_id_go_by_a_hash_of_the_text(spark):
+    """Whatever the order of the rows and however their texts compress, the same one of two rows of an id comes first."""
+    shared = " ".join(f"w{i}" for i in range(20))
+    texts = [f"{shared} zz", f"y {shared}", f"{shared} " + "q " * 300]
+    found = set()
+    for order in (texts, texts[::-1]):
+        rows = sd.dedup_substrings(spark.createDataFrame([(7, t) for t in order], "doc_id long, text string")).collect()
+        found.add(frozenset((r.n_words, r.n_removed) for r in rows))
+        assert sorted(r.n_removed > 0 for r in rows) == [False, True, True]
+    assert len(found) == 1
