@@ -12,8 +12,8 @@ Jaccard similarity of at least ``SIMILARITY`` with it; lines are judged on the i
    lengths, the places of the word in both and maps of their words allow the similarity.  A map has the parity of the words in
    each of 64 classes, 128 for long lines, so maps differ in no more bits than the sets in words, and long lines don't fill them.
 4. A line that resembles the first line under one of its six rarest words, or one of the last two before it there, is
-   settled by that one alone, so a group of near copies costs some pairs a line.  The rest are joined with all earlier partners; a pair
-   that shares one of the two words posted just before is left to that word, so few pairs meet under every word they share.
+   settled by that one alone if many come before it, so a group of near copies costs some pairs a line.  The rest are joined with all earlier partners; a pair
+   that shares the word posted just before is left to that word, so few pairs meet under every word they share.
 5. The lines of candidate pairs fetch their words again, once for all their pairs, and pairs are verified by the sizes of
    intersection and union.
 
@@ -36,8 +36,10 @@ STEPS = 3
 LONG = 100
 #: The rarest words under which a line is held against the first line and the last few before it, before all others.
 LEADERS, BEFORE = 6, 2
+#: Lines that must come before it under that word: fewer cost little in the join.
+DENSE = 4
 #: Bytes of a table that may be broadcast; larger ones are joined by a shuffle.
-BROADCAST_BYTES = 16_000_000
+BROADCAST_BYTES = 20_000_000
 BLANKS = "\t\n\x0b\x0c\r"
 
 
@@ -59,7 +61,7 @@ def counter_of(word: Column) -> Column:
 
 def rarity_steps(docs: DataFrame) -> Column:
     """The counters' steps as a constant array of ``RARITY`` small numbers."""
-    counts = docs.select(F.explode(F.split(spaced(F.col("text")), " ")).alias("w")).groupBy(counter_of(F.col("w")).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    counts = docs.select(F.explode(F.split("text", f"[ {BLANKS}]")).alias("w")).groupBy(counter_of(F.col("w")).alias("c")).agg(F.count(F.lit(1)).alias("n"))
     steps = [0] * RARITY
     for c, n in counts.select("c", F.least(F.lit(120), F.floor(STEPS * F.log2("n"))).cast("int")).toLocalIterator():
         steps[c] = n
@@ -70,9 +72,11 @@ class Names:
     """Names of lines that compare as the lines come: one long where doc_ids are unique and leave room, else a struct."""
 
     def __init__(self, docs: DataFrame):
-        found = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max(F.octet_length("text")).alias("size"), F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids")).first()
-        self.low, self.bits = found["low"] or 0, max(1, ((found["size"] or 0) + 1).bit_length())
+        found = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids")).first()
+        self.low, self.bits = found["low"] or 0, 31  # bits of a place: no text has 2**31 lines
         whole = (found["high"] or 0) - self.low
+        if whole.bit_length() + self.bits > 62:
+            self.bits = max(1, ((docs.agg(F.max(F.octet_length("text"))).first()[0] or 0) + 1).bit_length())
         self.long = found["n"] == found["ids"] and whole.bit_length() + self.bits <= 62 and docs.groupBy("doc_id").count().where("count > 1").isEmpty()
 
     def doc(self) -> Column:
@@ -102,7 +106,9 @@ def ranked_lines(docs: DataFrame, names: Names) -> DataFrame:
 
     # A condition on the ranks themselves would be pushed below them and make them twice.
     worded = lines_of(docs, names).where(F.length(F.trim("t", F.lit(" " + BLANKS))) > 0)
-    lines = worded.select("line", F.sort_array(F.array_distinct(F.transform(words_of("t"), rank))).alias("ranks"))
+    parts = F.split(spaced(F.col("t"), BLANKS.replace("\n", "")), " ")
+    ranks = F.array_remove(F.array_distinct(F.transform(parts, rank)), rank(F.lit("")))  # without the empty parts between two blanks
+    lines = worded.select("line", F.sort_array(ranks).alias("ranks"))
     n = F.size("ranks")
 
     def parity(bit) -> Column:
@@ -128,19 +134,10 @@ def postings(firsts: DataFrame) -> DataFrame:
 
 
 def with_words_before(firsts: DataFrame, settled: Column) -> DataFrame:
-    """Postings with the two words posted before each, nulls where there are none."""
+    """Postings with the word posted before each, null where there is none."""
     exploded = firsts.select("line", "n", "map", "map2", settled.cast("int").alias("low"), "prefix", F.posexplode("prefix").alias("at", "key"))
     meta = (F.col("n").cast("long") * 2**31 + F.col("at") * 2 + F.col("low")).alias("meta")
-    return exploded.select("key", "line", meta, "map", "map2", *[F.when(F.col("at") >= k, F.get("prefix", F.col("at") - k)).alias(f"before{k}") for k in (1, 2)])
-
-
-def met_before(a: str, b: str) -> Column:
-    """Whether the lines share one of the two words before this one: then they meet, or have met, under that."""
-    met = F.lit(False)
-    for j in (1, 2):
-        for k in (1, 2):
-            met = met | F.coalesce(F.col(f"{a}before{j}") == F.col(f"{b}before{k}"), F.lit(False))
-    return met
+    return exploded.select("key", "line", meta, "map", "map2", F.when(F.col("at") > 0, F.get("prefix", F.col("at") - 1)).alias("before"))
 
 
 def may_match(a: str, b: str, whole: bool = True) -> Column:
@@ -208,7 +205,7 @@ def removed_lines(docs: DataFrame, names: Names) -> DataFrame:
     posted = ("line", "meta", "map")
     rows = postings(firsts)
     seen = {f"p{k}_{c}": (F.lag(c, k).over(order) if k else F.first(c).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))) for k in range(BEFORE + 1) for c in posted}
-    led = rows.select(*posted, *[c.alias(name) for name, c in seen.items()]).where(F.col("p0_line") < F.col("line"))
+    led = rows.select(*posted, *[c.alias(name) for name, c in seen.items()], F.lag("line", DENSE).over(order).alias("many")).where("many is not null")
     earlier = [F.when((F.col(f"p{k}_line") < F.col("line")) & may_match(f"p{k}_", "", whole=False), F.col(f"p{k}_line")) for k in range(BEFORE + 1)]
     near = led.select(F.explode(F.array(*earlier)).alias("earlier"), F.col("line").alias("later")).where("earlier is not null")
     settled = verified(written(near.distinct(), "line-partners"), docs, names)
@@ -217,7 +214,8 @@ def removed_lines(docs: DataFrame, names: Names) -> DataFrame:
     a, b = searched.alias("a"), searched.alias("b")
     # A settled line needs no partner; told from both sides' columns, so that both read the same shuffled postings.
     open_ = (F.col("b.meta").bitwiseAND(F.lit(1)) * 2 + F.col("a.meta").bitwiseAND(F.lit(1))) < 2
-    pairs = a.join(b, "key").where((F.col("a.line") < F.col("b.line")) & may_match("a.", "b.") & open_ & ~met_before("a.", "b."))
+    met_before = F.coalesce(F.col("a.before") == F.col("b.before"), F.lit(False))  # then they meet, or have met, under that word
+    pairs = a.join(b, "key").where((F.col("a.line") < F.col("b.line")) & may_match("a.", "b.") & open_ & ~met_before)
     pairs = written(pairs.select(F.col("a.line").alias("earlier"), F.col("b.line").alias("later")).distinct(), "line-partners")
     late = verified(pairs, docs, names)
     return again.unionByName(settled).unionByName(late)

@@ -91,6 +91,21 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
             sha256(array_to_string(list_filter(words, lambda x, i: places IS NULL OR NOT list_contains(places, i)), ' ')) AS kept_sha256
         FROM w LEFT JOIN gone USING (doc_id)""",
+    "op5_line_dedup": """
+        WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS t FROM documents),
+        l AS (SELECT doc_id, i AS place, list_sort(list_distinct(list_filter(regexp_split_to_array(t[i], '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))) AS w
+            FROM split, unnest(range(1, len(t) + 1)) AS r(i)),
+        sets AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, place) AS copy FROM l WHERE len(w) > 0),
+        firsts AS (SELECT doc_id, place, w, row_number() OVER (ORDER BY doc_id, place) AS line FROM sets WHERE copy = 1),
+        words AS (SELECT line, unnest(w) AS word, len(w) AS n FROM firsts),
+        ranked AS (SELECT line, word, n, row_number() OVER (PARTITION BY line ORDER BY df, word) AS r FROM words JOIN (SELECT word, count(*) AS df FROM words GROUP BY 1) USING (word)),
+        posted AS (SELECT * FROM ranked WHERE r <= n - ceil(0.8 * n - 1e-9) + 1),
+        pairs AS (SELECT DISTINCT a.line AS earlier, b.line AS later FROM posted a JOIN posted b USING (word) WHERE a.line < b.line AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9),
+        met AS (SELECT b.doc_id, b.place, len(list_intersect(a.w, b.w)) AS same, len(a.w) + len(b.w) AS total FROM pairs JOIN firsts a ON a.line = earlier JOIN firsts b ON b.line = later),
+        gone AS (SELECT doc_id, list(place) AS p FROM (SELECT doc_id, place FROM sets WHERE copy > 1 UNION SELECT doc_id, place FROM met WHERE same >= 0.8 * (total - same) - 1e-9) GROUP BY 1)
+        SELECT doc_id, coalesce(len(t), 0)::BIGINT AS n_lines, coalesce(len(p), 0)::BIGINT AS n_removed,
+            sha256(array_to_string(list_filter(t, lambda x, i: p IS NULL OR NOT list_contains(p, i)), chr(10))) AS kept_sha256
+        FROM split LEFT JOIN gone USING (doc_id)""",
     "op4_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
