@@ -1,9 +1,10 @@
 """Exact top-k search by inner product with block-at-a-time pruning.
 
 Vectors become integers, floor(``scale`` * x), and are dealt to groups of ascending ids.  A group's task cuts them into blocks of
-``BLOCK`` rows, each with its forward index (the block's vectors) and the maximum and minimum of each component.  A query meets
-every group: it orders the group's blocks by the sum over components of what a block's extremes allow, and scores block after
-block until the bound of the next falls below its k-th score so far.  A bound that equals the k-th score may hide a tie of a smaller id,
+at most ``BLOCK`` rows, halving along the direction in which they spread most, so that rows of a block are alike and its extremes
+tight; each block has its forward index (its vectors) and the maximum and minimum of each component.  A query meets every group:
+it orders the group's blocks by the sum over components of what a block's extremes allow, and scores them, ``AT_ONCE`` at a time,
+until the bound of the next falls below its k-th score so far.  A bound that equals the k-th score may hide a tie of a smaller id,
 so such a block is scored.  The groups' best meet per query.
 
 Queries are rows of the same table that ``is_query`` names, so this is a search of a stated query set against all rows: groups are
@@ -30,7 +31,9 @@ from keystrand.llm.common import as_binary
 
 SCALE = 1024
 TOP = 10
-BLOCK = 512
+BLOCK = 32
+#: Blocks that are scored in one product; those of a bound below the k-th score are left out of it.
+AT_ONCE = 16
 #: Queries that are bounded at a time.
 BATCH = 256
 
@@ -86,32 +89,58 @@ def matrix(bodies: list[bytes], width: int = 0) -> np.ndarray:
     return np.frombuffer(b"".join(b.ljust(8 * width, b"\0") for b in bodies), dtype="<i8").reshape(len(bodies), width)
 
 
+def halved(values: np.ndarray, size: int) -> list[np.ndarray]:
+    """Indexes of the rows in parts of at most ``size``, each half of a part on one side along its direction of most spread."""
+    waiting, parts = [np.arange(len(values))], []
+    while waiting:
+        own = waiting.pop()
+        if len(own) <= size:
+            parts.append(own)
+            continue
+        spread = values[own] - values[own].mean(axis=0)
+        along = np.ones(values.shape[1])
+        for _ in range(4):  # power iteration; the length of a direction is of no matter, but must stay finite
+            along = spread.T @ (spread @ along)
+            along /= np.abs(along).max(initial=0) or 1
+        order = own[np.argsort(spread @ along, kind="stable")]
+        waiting += [order[: len(order) // 2], order[len(order) // 2 :]]
+    return parts
+
+
 class Blocks:
     def __init__(self, ids: list[int], bodies: list[bytes], size: int = BLOCK):
         ids, self.values = np.array(ids, dtype=np.int64), matrix(bodies)
-        order = np.argsort(ids, kind="stable")
-        ids, self.values = ids[order], self.values[order]
-        cuts = range(0, len(ids), size)
         self.largest = int(np.abs(self.values).max()) if self.values.size else 0
         double = self.values.dtype != object  # a larger number may be beyond a double, and is never bounded
-        self.blocks = [(ids[c : c + size], self.values[c : c + size].astype(np.float64) if double else None) for c in cuts]
-        self.most = np.array([self.values[c : c + size].max(axis=0) for c in cuts], dtype=np.float64) if double else None
-        self.least = np.array([self.values[c : c + size].min(axis=0) for c in cuts], dtype=np.float64) if double else None
-        self.size = size
+        parts = halved(self.values.astype(np.float64), size) if double else [np.arange(c, min(c + size, len(ids))) for c in range(0, len(ids), size)]
+        order, sizes = np.concatenate(parts), np.array([len(x) for x in parts])
+        self.ids, self.values = ids[order], self.values[order]
+        self.starts, self.ends = np.cumsum(sizes) - sizes, np.cumsum(sizes)
+        self.doubles = self.values.astype(np.float64) if double else None
+        self.most = np.maximum.reduceat(self.doubles, self.starts, axis=0) if double else None
+        self.least = np.minimum.reduceat(self.doubles, self.starts, axis=0) if double else None
+        self.scored = self.met = 0  # blocks scored, of those that queries met
 
     def best(self, query_ids: list[int], bodies: list[bytes], top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query's place, ids, scores) of each query's best rows here."""
         queries = matrix(bodies, self.values.shape[1])[:, : self.values.shape[1]]
         exact = self.most is not None and queries.dtype != object and self.largest * int(np.abs(queries).max(initial=0)) * max(1, queries.shape[1]) < 2**53
         wide = queries.astype(np.float64) if exact else queries
-        bounds = np.maximum(wide, 0) @ self.most.T + np.minimum(wide, 0) @ self.least.T if exact else np.full((len(queries), len(self.blocks)), np.inf)
+        bounds = np.maximum(wide, 0) @ self.most.T + np.minimum(wide, 0) @ self.least.T if exact else np.full((len(queries), len(self.starts)), np.inf)
         for k, own in enumerate(query_ids):
             ids, scores, floor = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64 if exact else object), None
-            for j in np.argsort(-bounds[k], kind="stable"):
-                if floor is not None and bounds[k, j] < floor:
-                    break
-                block_ids, values = self.blocks[j]
-                found = (values @ wide[k]).astype(np.int64) if exact else self.values[j * self.size : j * self.size + len(block_ids)].astype(object) @ queries[k].astype(object)
+            ranked = np.argsort(-bounds[k], kind="stable")
+            self.met += len(ranked)
+            for i in range(0, len(ranked), AT_ONCE):
+                some = ranked[i : i + AT_ONCE]
+                if floor is not None:
+                    some = some[bounds[k, some] >= floor]
+                    if not len(some):
+                        break
+                self.scored += len(some)
+                rows = np.concatenate([np.arange(self.starts[j], self.ends[j]) for j in some])
+                block_ids = self.ids[rows]
+                found = (self.doubles[rows] @ wide[k]).astype(np.int64) if exact else self.values[rows].astype(object) @ queries[k].astype(object)
                 good = block_ids != own
                 if floor is not None:
                     good &= found >= floor

@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+
 from keystrand.llm import topk
 from keystrand.llm.queries import op4_exact_top_k
 
@@ -66,3 +68,16 @@ def test_large_components_take_part(spark):
             best = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in exact if i != q)[:10]
             want += [(q, k + 1, i, max(-(2**63), min(2**63 - 1, -s))) for k, (s, i) in enumerate(best)]
     assert found == sorted(want) and {r[2] for r in found} >= {3, 4, 6, 7}
+
+
+def test_blocks_are_pruned_where_vectors_cluster():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16)) * 400
+    values = np.floor(centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) * 20).astype("<i8")
+    blocks = topk.Blocks(list(range(4000)), [v.tobytes() for v in values])
+    found = list(blocks.best(list(range(0, 4000, 100)), [values[i].tobytes() for i in range(0, 4000, 100)], 10))
+    for k, ids, scores in found:
+        own = values @ values[100 * k]
+        order = [i for i in np.lexsort((np.arange(4000), -own)) if i != 100 * k][:10]
+        assert ids.tolist() == order and scores.tolist() == own[order].tolist()
+    assert blocks.scored < 0.5 * blocks.met
