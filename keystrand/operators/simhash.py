@@ -66,11 +66,17 @@ def classes(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def near_duplicates(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows (a, b, distance): representatives of different fingerprints within three bits, a below b."""
+    """Rows (a, b, distance): representatives of different fingerprints within three bits, a below b.
+
+    A pair counts under the first choice of blocks that it shares, so each is found once.
+    """
     first = prints.groupBy("fp").agg(F.min(id_col).alias("id"))
     masks = _choices()
     keys = F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])
     keyed = first.select("id", "fp", F.posexplode(keys).alias("choice", "key"))
     a, b = keyed.alias("a"), keyed.alias("b")
-    met = a.join(b, (F.col("a.choice") == F.col("b.choice")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (hamming("a.fp", "b.fp") <= DISTANCE))
-    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), hamming("a.fp", "b.fp").alias("distance")).distinct()
+    apart = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    shared = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(m).cast("long")) == 0, F.lit(c)) for c, m in enumerate(masks)])
+    near = (F.col("a.id") < F.col("b.id")) & (hamming("a.fp", "b.fp") <= DISTANCE) & (F.col("a.choice") == shared)
+    met = a.join(b, (F.col("a.choice") == F.col("b.choice")) & (F.col("a.key") == F.col("b.key")) & near)
+    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), hamming("a.fp", "b.fp").alias("distance"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -16,7 +18,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_keystrand_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
-    where = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="keystrand-ship-")), "keystrand.zip")
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="keystrand-ship-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves the file from there
+    where = os.path.join(folder, "keystrand.zip")
     with zipfile.ZipFile(where, "w") as archive:
         for p in sorted(package.rglob("*.py")):
             archive.write(p, p.relative_to(package.parent))
