@@ -46,7 +46,10 @@ class Store:
         return self.runs.read().select(*log.COLUMNS, "key_lc").unionByName(self.late().withColumn("key_lc", F.lower("key")))
 
     def append(self, rows: DataFrame) -> None:
-        """Append rows of a log, and flush if the log is full."""
+        """Append rows of a log, and flush if the log is full.
+
+        They must not be older than what was appended before: compaction may have dropped the tombstone that would hide them.
+        """
         n = max(self.batches(), default=-1) + 1
         rows.select(*[F.col(c).cast("timestamp") if c == "ts" else F.col(c) for c in log.COLUMNS]).write.parquet(f"{self.path}/log/batch={n}")
         self.cached.clear()

@@ -380,6 +380,13 @@ def thirds(rows: DataFrame) -> list[DataFrame]:
     return [rows.where(F.col("seq") % 3 == k) for k in range(3)]
 
 
+def by_time(rows: DataFrame) -> list[DataFrame]:
+    """Three parts, each later than the one before, as mutations come."""
+    early, late = rows.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [1 / 3, 2 / 3]).alias("q")).first()["q"]
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    return [rows.where(at <= early), rows.where((at > early) & (at <= late)), rows.where(at > late)]
+
+
 def runs_of(spark: SparkSession, *parts: tuple[DataFrame, int]) -> RunStore:
     runs = RunStore(spark, fresh_path(spark, "runs"))
     for rows, level in parts:
@@ -394,7 +401,7 @@ def content(rows: DataFrame) -> DataFrame:
 @query(f"WITH {NEWEST} SELECT key, value, seq FROM live")
 def store_live(spark, sf_dir):
     """A store that flushed and compacted on its way, as two thirds of it lie in runs."""
-    return content(store_of(spark, Settings(MaxSize=20, NumberOfMemtables=5), *thirds(events_log(spark, sf_dir))).live())
+    return content(store_of(spark, Settings(MaxSize=20, NumberOfMemtables=5), *by_time(events_log(spark, sf_dir))).live())
 
 
 @query("SELECT 2::BIGINT AS batches, 0::BIGINT AS runs, 'small' AS store UNION ALL SELECT 0, 1, 'full'")
@@ -409,7 +416,7 @@ def store_flush(spark, sf_dir):
 
 @query(f"WITH {NEWEST} SELECT key, value, seq FROM live WHERE starts_with(key, '1')")
 def store_prefix_scan(spark, sf_dir):
-    return content(store_of(spark, Settings(MaxSize=20), *thirds(events_log(spark, sf_dir))).prefix_scan("1"))
+    return content(store_of(spark, Settings(MaxSize=20), *by_time(events_log(spark, sf_dir))).prefix_scan("1"))
 
 
 @query(f"""WITH {NEWEST} SELECT key, value FROM live WHERE key NOT IN ('1', '2', '3') UNION ALL SELECT '1', 'put' UNION ALL SELECT '3', 'put again'""")
