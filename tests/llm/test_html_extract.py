@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from keystrand.llm import html_extract as hx
 from keystrand.llm.queries import op8_html_extraction
@@ -93,3 +94,68 @@ def test_empty_table(spark, store):
 def test_crossing_classes_are_left_out():
     rows = [{"members": [{"place": p, "token": t} for p, t in c]} for c in ([(0, 1), (900, 2)], [(100, 3), (400, 4)], [(300, 5), (600, 6)], [(500, 7), (800, 8)])]
     assert hx.nested(rows) == {1, 2, 3, 4, 7, 8}
+
+
+def test_the_main_slot_is_found_without_any_name(spark):
+    """Pages whose tags and classes name nothing: only the template of their host tells the article from the rest."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    plain = lambda s: re.sub(r"<(/?)(?:article|nav|footer|aside|section|header)\b", r"<\1div", re.sub(r" (?:class|id)=\"[^\"]*\"", "", s))
+    rows = [(r.page_id, r.url, plain(r.html), None, None) for r in pages]
+    made = spark.createDataFrame(rows, SCHEMA)
+    hosts = {r.page_id: r.h for r in made.select("page_id", hx.host_of().alias("h")).collect()}
+    often = {h for h in hosts.values() if sum(x == h for x in hosts.values()) >= hx.MIN_PAGES}
+    found = {r.page_id: r.text for r in hx.extract_main_text(made).collect()}
+    judged = [r for r in pages if hosts[r.page_id] in often]
+    right = sum(found[r.page_id] == article_text(r.html) for r in judged)
+    without = sum(hx.Page(plain(r.html)).main_text() == article_text(r.html) for r in judged)
+    assert len(judged) > 100 and right >= 0.8 * len(judged) and without == 0
+
+
+def test_classes_are_those_of_a_plain_count(spark):
+    """Brute force: tokens of equal counts on every page of a host, of all its pages."""
+    pages = [r for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    df = spark.createDataFrame([(r.page_id, r.url, r.html, None, None) for r in pages], SCHEMA).select("page_id", hx.host_of().alias("host"), "html")
+    by_host = {}
+    for r in df.collect():
+        counts = {}
+        items = hx.Page(r.html).items
+        for token, text, *_, around, _ in items:
+            if token:
+                counts[token] = counts.get(token, 0) + 1
+            if text is None and around:
+                counts[around[-1]] = 1
+        for token, text, _, _, article, element, *_ in items:
+            if text is not None and article and token in counts and not counts[token] == counts[element] == counts[article]:
+                del counts[token]
+        by_host.setdefault(r.host, []).append(counts)
+    for r in hx.templates(df).collect():
+        own, classes = by_host[r.host], {}
+        for token in {t for c in own for t in c}:
+            vector = tuple(c.get(token, 0) for c in own)
+            n = sum(v > 0 for v in vector)
+            if n >= max(hx.MIN_PAGES, hx.MIN_SHARE * len(own)):
+                classes.setdefault(vector, set()).add(token)
+        expected = {frozenset(c) for c in classes.values() if len(c) >= hx.MIN_SIZE}
+        assert {frozenset(m.token for m in c.members) for c in r.classes} == expected
+
+
+def test_repeated_rows_change_nothing(spark):
+    def page(k):
+        return f"<html><body><div><b>Welcome to our site</b></div><div id='c'><h2>Story {k}</h2><p>Text {k}</p></div></body></html>"
+
+    rows = [(k, "http://h.example/", page(k), None, None) for k in (0, 1, 2, 3, 3, 3, 3)]
+    assert {r.text for r in hx.extract_main_text(spark.createDataFrame(rows, SCHEMA)).collect()} == {f"Story {k} Text {k}" for k in range(4)}
+
+
+def test_malformed_pages_take_linear_time():
+    for source in ("<a '" * 250_000, '<a "' * 250_000 + ">", "<" * 1_000_000, "<a b='" * 170_000 + "'>x", "<!--" * 250_000, "<script>" * 125_000, "<a <a " * 160_000):
+        began = time.process_time()
+        hx.Page(source).main_text()
+        assert time.process_time() - began < 5, source[:20]
+
+
+def test_classes_out_of_order_on_a_page_are_no_template_there():
+    source = "<body><div>A</div><p>B</p><i>C</i></body>"
+    page = hx.Page(source)
+    a, b = (next(t for t, text, *_ in page.items if text == x) for x in "AB")
+    assert page.main_text({a: 0, b: 0}) == "C" and page.main_text({b: 0, a: 0}) == "A B C"
