@@ -12,8 +12,9 @@ Jaccard similarity of at least ``SIMILARITY`` with it; lines are judged on the i
    lengths, the places of the word in both and maps of their words allow the similarity.  A map has the parity of the words in
    each of 64 classes, 128 for long lines, so maps differ in no more bits than the sets in words, and long lines don't fill them.
 4. A line that resembles the first line under one of its six rarest words, or one of the last two before it there, is
-   settled by that one alone if many come before it, so a group of near copies costs some pairs a line.  The rest are joined with all earlier partners; a pair
-   that shares the word posted just before is left to that word, so few pairs meet under every word they share.
+   settled by that one alone if many come before it, so a group of near copies costs some pairs a line.  The rest are joined
+   with all partners, each pair once, the shorter line against the longer: as the shorter one it needs to post fewer words, a
+   ninth of them and one more.
 5. The lines of candidate pairs fetch their words again, once for all their pairs, and pairs are verified by the sizes of
    intersection and union.
 
@@ -55,17 +56,17 @@ def words_of(text: str | Column) -> Column:
     return F.array_remove(F.split(spaced(F.col(text) if isinstance(text, str) else text), " "), "")
 
 
-def counter_of(word: Column) -> Column:
-    return F.hash(word).bitwiseAND(F.lit(RARITY - 1))
+def counter_of(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(RARITY - 1)).cast("int")
 
 
 def rarity_steps(docs: DataFrame) -> Column:
-    """The counters' steps as a constant array of ``RARITY`` small numbers."""
-    counts = docs.select(F.explode(F.split("text", f"[ {BLANKS}]")).alias("w")).groupBy(counter_of(F.col("w")).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    """The counters' steps, as the high bits of a rank, in a constant array of ``RARITY`` numbers."""
+    counts = docs.select(F.explode(F.split("text", f"[ {BLANKS}]")).alias("w")).groupBy(counter_of(F.xxhash64("w")).alias("c")).agg(F.count(F.lit(1)).alias("n"))
     steps = [0] * RARITY
     for c, n in counts.select("c", F.least(F.lit(120), F.floor(STEPS * F.log2("n"))).cast("int")).toLocalIterator():
-        steps[c] = n
-    return F.split(F.lit(",".join(map(str, steps))), ",").cast("array<int>")  # folded into a literal by the optimizer
+        steps[c] = n << 56
+    return F.split(F.lit(",".join(map(str, steps))), ",").cast("array<bigint>")  # folded into a literal by the optimizer
 
 
 class Names:
@@ -92,33 +93,33 @@ class Names:
 
 
 def lines_of(docs: DataFrame, names: Names) -> DataFrame:
-    """Rows (line, t): a line's name and text."""
-    return docs.select(names.doc().alias("doc"), F.posexplode(F.split("text", "\n")).alias("place", "t")).select(names.line(F.col("doc"), F.col("place")).alias("line"), "t")
+    """Rows (line, t): a line's name and text, with spaces for other blanks."""
+    lines = F.split(spaced(F.col("text"), BLANKS.replace("\n", "")), "\n")
+    return docs.select(names.doc().alias("doc"), F.posexplode(lines).alias("place", "t")).select(names.line(F.col("doc"), F.col("place")).alias("line"), "t")
 
 
 def ranked_lines(docs: DataFrame, names: Names) -> DataFrame:
-    """Rows (line, n, map, map2, prefix, d1, d2): a line's number of words, map, rarest words and digest of its set."""
+    """Rows (line, n, map, map2, prefix, d1, d2): a line's number of words, maps of all words and of a long line's one half, rarest words and digest of its set."""
     steps, one, last = rarity_steps(docs), F.lit(1).cast("long"), F.lit(63).cast("long")
 
-    def rank(w: Column) -> Column:
-        step = F.coalesce(F.get(steps, counter_of(w)), F.lit(0)).cast("long")  # never null, so arrays of ranks sort as plain longs
-        return F.call_function("shiftleft", step, F.lit(56)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
+    def rank(h: Column) -> Column:
+        step = F.coalesce(steps[counter_of(h)], F.lit(0).cast("long"))  # never null, so arrays of ranks sort as plain longs
+        return step.bitwiseOR(F.shiftrightunsigned(h, 8))
 
     # A condition on the ranks themselves would be pushed below them and make them twice.
-    worded = lines_of(docs, names).where(F.length(F.trim("t", F.lit(" " + BLANKS))) > 0)
-    parts = F.split(spaced(F.col("t"), BLANKS.replace("\n", "")), " ")
-    ranks = F.array_remove(F.array_distinct(F.transform(parts, rank)), rank(F.lit("")))  # without the empty parts between two blanks
+    worded = lines_of(docs, names).where(F.ltrim("t") != "")  # trimming both ends would walk through the whole line
+    # What stands within a transform is interpreted, so only hashing and ranking do.
+    every = F.transform(F.transform(F.split("t", " "), lambda w: F.xxhash64(w)), rank)
+    ranks = F.array_remove(F.array_distinct(every), rank(F.xxhash64(F.lit(""))))  # without the empty parts between two blanks
     lines = worded.select("line", F.sort_array(ranks).alias("ranks"))
     n = F.size("ranks")
 
     def parity(bit) -> Column:
         return F.aggregate("ranks", F.lit(0).cast("long"), lambda a, r: a.bitwiseXOR(F.call_function("shiftleft", bit(r), r.bitwiseAND(last).cast("int"))))
 
-    half = lambda r: F.shiftright(r, 6).bitwiseAND(one)
-    first = F.when(n <= LONG, parity(lambda r: one)).otherwise(parity(lambda r: one - half(r)))
-    second = F.when(n <= LONG, F.lit(0).cast("long")).otherwise(parity(half))
+    half = F.when(n <= LONG, F.lit(0).cast("long")).otherwise(parity(lambda r: F.shiftright(r, 6).bitwiseAND(one)))
     prefix = F.slice("ranks", F.lit(1), (n - F.ceil(n * SIMILARITY - 1e-9) + 1).cast("int"))
-    return lines.select("line", n.alias("n"), first.alias("map"), second.alias("map2"), prefix.alias("prefix"), F.xxhash64("ranks").alias("d1"), F.xxhash64(F.reverse("ranks")).alias("d2"))
+    return lines.select("line", n.alias("n"), parity(lambda r: one).alias("map"), half.alias("map2"), prefix.alias("prefix"), F.xxhash64("ranks").alias("d1"), F.xxhash64(F.lit(1), "ranks").alias("d2"))
 
 
 def later_copies(ranked: DataFrame) -> DataFrame:
@@ -129,15 +130,23 @@ def later_copies(ranked: DataFrame) -> DataFrame:
 
 def postings(firsts: DataFrame) -> DataFrame:
     """Rows (key, line, meta, map) of a line's ``LEADERS`` rarest words; meta has the line's size and the word's place, map 64 classes."""
-    exploded = firsts.select("line", "n", F.col("map").bitwiseXOR(F.col("map2")).alias("map"), F.posexplode(F.slice("prefix", 1, LEADERS)).alias("at", "key"))
+    exploded = firsts.select("line", "n", "map", F.posexplode(F.slice("prefix", 1, LEADERS)).alias("at", "key"))
     return exploded.select("key", "line", (F.col("n").cast("long") * 2**31 + F.col("at") * 2).alias("meta"), "map")
 
 
-def with_words_before(firsts: DataFrame, settled: Column) -> DataFrame:
-    """Postings with the word posted before each, null where there is none."""
-    exploded = firsts.select("line", "n", "map", "map2", settled.cast("int").alias("low"), "prefix", F.posexplode("prefix").alias("at", "key"))
-    meta = (F.col("n").cast("long") * 2**31 + F.col("at") * 2 + F.col("low")).alias("meta")
-    return exploded.select("key", "line", meta, "map", "map2", F.when(F.col("at") > 0, F.get("prefix", F.col("at") - 1)).alias("before"))
+def shortest_overlap(n: Column) -> Column:
+    """Words that a line of n shares at least with a similar line that isn't shorter."""
+    return F.ceil(n * (2 * SIMILARITY / (1 + SIMILARITY)) - 1e-9)
+
+
+def searched(firsts: DataFrame, as_shorter: bool) -> DataFrame:
+    """Rows (key, line, meta, map, map2) of the words a line posts as the shorter or the longer one of a pair; meta also has the flag ``settled``.
+
+    The shorter one needs fewer: a similar line that isn't shorter holds ``shortest_overlap`` of its words.
+    """
+    prefix = F.slice("prefix", F.lit(1), (F.col("n") - shortest_overlap(F.col("n")) + 1).cast("int")) if as_shorter else F.col("prefix")
+    exploded = firsts.select("line", "n", "map", "map2", F.col("settled").cast("int").alias("low"), F.posexplode(prefix).alias("at", "key"))
+    return exploded.select("key", "line", (F.col("n").cast("long") * 2**31 + F.col("at") * 2 + F.col("low")).alias("meta"), "map", "map2")
 
 
 def may_match(a: str, b: str, whole: bool = True) -> Column:
@@ -149,12 +158,10 @@ def may_match(a: str, b: str, whole: bool = True) -> Column:
     lengths = F.least(na, nb) >= F.greatest(na, nb) * SIMILARITY - 1e-9
     # Similar lines have a first word in common, before which they share none: what follows it must hold the overlap.
     places = F.least(na - at, nb - bt) >= least
-    # The halves of a long line's map, added by XOR, are its map of 64 classes.
-    if whole:
-        one, two = (F.col(a + m).bitwiseXOR(F.col(b + m)) for m in ("map", "map2"))
-        differ = F.when(F.least(na, nb) > LONG, F.bit_count(one) + F.bit_count(two)).otherwise(F.bit_count(one.bitwiseXOR(two)))
-    else:
-        differ = F.bit_count(F.col(a + "map").bitwiseXOR(F.col(b + "map")))
+    differ = F.bit_count(F.col(a + "map").bitwiseXOR(F.col(b + "map")))
+    if whole:  # a long line's other half is what the first adds to the map by XOR
+        every, half = (F.col(a + m).bitwiseXOR(F.col(b + m)) for m in ("map", "map2"))
+        differ = F.when(F.least(na, nb) > LONG, F.bit_count(every.bitwiseXOR(half)) + F.bit_count(half)).otherwise(differ)
     return lengths & places & (differ <= na + nb - 2 * least)
 
 
@@ -209,14 +216,15 @@ def removed_lines(docs: DataFrame, names: Names) -> DataFrame:
     earlier = [F.when((F.col(f"p{k}_line") < F.col("line")) & may_match(f"p{k}_", "", whole=False), F.col(f"p{k}_line")) for k in range(BEFORE + 1)]
     near = led.select(F.explode(F.array(*earlier)).alias("earlier"), F.col("line").alias("later")).where("earlier is not null")
     settled = verified(written(near.distinct(), "line-partners"), docs, names)
-    flagged = firsts.join(small(settled).withColumn("settled", F.lit(True)), "line", "left")
-    searched = with_words_before(flagged, F.coalesce("settled", F.lit(False)))
-    a, b = searched.alias("a"), searched.alias("b")
-    # A settled line needs no partner; told from both sides' columns, so that both read the same shuffled postings.
-    open_ = (F.col("b.meta").bitwiseAND(F.lit(1)) * 2 + F.col("a.meta").bitwiseAND(F.lit(1))) < 2
-    met_before = F.coalesce(F.col("a.before") == F.col("b.before"), F.lit(False))  # then they meet, or have met, under that word
-    pairs = a.join(b, "key").where((F.col("a.line") < F.col("b.line")) & may_match("a.", "b.") & open_ & ~met_before)
-    pairs = written(pairs.select(F.col("a.line").alias("earlier"), F.col("b.line").alias("later")).distinct(), "line-partners")
+    flagged = firsts.join(small(settled).withColumn("settled", F.lit(True)), "line", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    a, b = searched(flagged, True).alias("a"), searched(flagged, False).alias("b")
+    na, nb = F.shiftright("a.meta", 31), F.shiftright("b.meta", 31)
+    before = F.col("a.line") < F.col("b.line")
+    # Of equal lengths, the earlier line takes the part of the shorter one, so each pair meets in one order only.
+    shorter = (na < nb) | ((na == nb) & before)
+    open_ = F.when(before, F.col("b.meta")).otherwise(F.col("a.meta")).bitwiseAND(F.lit(1)) == 0  # a settled line needs no earlier partner
+    pairs = a.join(b, "key").where(shorter & may_match("a.", "b.") & open_)
+    pairs = written(pairs.select(F.least("a.line", "b.line").alias("earlier"), F.greatest("a.line", "b.line").alias("later")).distinct(), "line-partners")
     late = verified(pairs, docs, names)
     return again.unionByName(settled).unionByName(late)
 

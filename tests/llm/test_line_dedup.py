@@ -63,3 +63,16 @@ def test_empty_table(spark, store, odd_documents):
 def test_no_python_in_the_plan(spark, store, odd_documents):
     plan = op5_line_dedup(spark, store(documents=odd_documents))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_the_shorter_line_posts_fewer_words(spark):
+    words, docs = [f"w{k}" for k in range(180)], []
+    for n in (9, 10, 45, 50, 90, 110, 144, 180):  # each pair of neighbours is at or about the least similarity, from either side
+        docs += [(2 * n, " ".join(words[:n])), (1000 - n, " ".join(words[180 - n :] + ["end"]))]
+    docs = [(d, t + "\n" + " ".join(t.split()[::-1][1:])) for d, t in docs]
+    found = ld.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    check(found.select("doc_id", "n_lines", "n_removed", ld.F.sha2("text", 256).alias("kept_sha256")).collect(), docs)
+    ranked = ld.ranked_lines(frame := spark.createDataFrame(docs, "doc_id long, text string"), ld.Names(frame)).withColumn("settled", ld.F.lit(False))
+    posted = {side: dict(ld.searched(ranked, side).groupBy("line").count().collect()) for side in (True, False)}
+    for line, n in ranked.select("line", "n").collect():
+        assert posted[False][line] == n - -(-4 * n // 5) + 1 and posted[True][line] == n - -(-8 * n // 9) + 1
