@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrand.plans.shipping import ship
-from keystrand.plans.storage import fresh_path
+from keystrand.plans.storage import delete, fresh_path
 
 #: Text bytes that one ordered chunk aims at; a task holds one chunk at a time.
 CHUNK_BYTES = 16_000_000
@@ -62,6 +62,12 @@ def written(df: DataFrame, name: str, options: dict[str, str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete a written table that nothing reads any more."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        delete(df.sparkSession, path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the driver's; the package goes to the workers with it."""
     prepare(spark)

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystrand.llm.common import written
+from keystrand.llm.common import forget, written
 
 SIMILARITY = 0.8
 #: Hash counters for words; steps of rarity a power of two has.
@@ -199,7 +199,9 @@ def verified(pairs: DataFrame, docs: DataFrame, names: Names) -> DataFrame:
     words = words_of_lines(pairs, docs, names)
     sure = similar(pairs.groupBy("later").agg(F.min("earlier").alias("earlier")), words)
     rest = pairs.join(sure.withColumnRenamed("line", "later"), "later", "left_anti")
-    return sure.unionByName(similar(rest, words))
+    found = sure.unionByName(similar(rest, words))
+    forget(words)  # the largest table here, before the next shuffle
+    return found
 
 
 def removed_lines(docs: DataFrame, names: Names) -> DataFrame:

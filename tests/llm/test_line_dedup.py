@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 
@@ -76,3 +77,13 @@ def test_the_shorter_line_posts_fewer_words(spark):
     posted = {side: dict(ld.searched(ranked, side).groupBy("line").count().collect()) for side in (True, False)}
     for line, n in ranked.select("line", "n").collect():
         assert posted[False][line] == n - -(-4 * n // 5) + 1 and posted[True][line] == n - -(-8 * n // 9) + 1
+
+
+def test_fetched_words_are_deleted(spark, tmp_path, monkeypatch):
+    made = []
+    keep = ld.written
+    monkeypatch.setattr(ld, "written", lambda df, name, *rest: made.append((name, keep(df, name, *rest))) or made[-1][1])
+    rows = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f g")], "doc_id long, text string")
+    assert [r.n_removed for r in ld.dedup_lines(rows).orderBy("doc_id").collect()] == [0, 1]
+    paths = [f.rpartition("/")[0].removeprefix("file://") for name, df in made if name == "line-words" for f in df.inputFiles()]
+    assert [name for name, _ in made].count("line-words") == 2 and paths and not any(os.path.exists(p) for p in paths)
